@@ -62,13 +62,13 @@ def crc_of_id(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about SLICE_CHARS of the text column."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about so many bytes of the text column."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         begin = total = 0
         for i, n in enumerate(lengths):
-            if total + n > SLICE_CHARS and i > begin:
+            if total + n > chars and i > begin:
                 yield batch.slice(begin, i - begin)
                 begin, total = i, 0
             total += n

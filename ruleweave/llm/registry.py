@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bpe, exact, html, packing, sharding
+from ruleweave.llm import bpe, exact, html, langid, packing, sharding, toxicity
 from ruleweave.llm.common import table
 
 
@@ -17,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -30,6 +34,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(docs, exact.half_snapshot())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
@@ -48,7 +56,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_round_trip, op5_best_fit_packing, op6_exact_dedup, op9_sharding, op10_html_extraction)}
+    return {f.__name__: f for f in (op3_toxicity, op4_bpe_round_trip, op5_best_fit_packing, op6_exact_dedup, op7_language_id, op9_sharding, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
