@@ -76,6 +76,24 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
             yield batch.slice(begin)
 
 
+#: A key held by more than one row in so many is hot: there are never more hot keys than this.
+HOT_SHARE, HOT_LEAST = 1_000, 5_000
+
+
 def salts_for(spark: SparkSession) -> int:
     """Parts into which hot keys are split: as many as shuffles have partitions."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def salted(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows and their groups (one row a key, with its count of rows), both with salt_, to be joined on key and salt_.
+
+    Rows of hot keys are spread by a hash of the columns in by, and the groups of hot keys, at most
+    HOT_SHARE of them whatever the input, are repeated for each salt. All others have salt 0.
+    """
+    s = salts_for(rows.sparkSession)
+    least = max(HOT_LEAST, total // HOT_SHARE)
+    hot = groups.filter(F.col(count) > least).select(F.col(key).alias("hot_"))
+    spread = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_"), "left")
+    spread = spread.withColumn("salt_", F.when(F.col("hot_").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.lit(s)).cast("int"))).drop("hot_")
+    return spread, groups.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > least, s - 1).otherwise(0))))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import crc_of_id, materialize, salts_for
+from ruleweave.llm.common import crc_of_id, materialize, salted
 
 #: Digests for which one filter is made, about; at 9 bits each.
 DIGESTS_PER_FILTER = 200_000
@@ -160,10 +160,10 @@ def exact_groups(docs: DataFrame, in_snapshot: Column, text: str = "text", key:
     alone = batch.join(old.select("sha_"), "sha_", "left_anti").select("sha_", "low_", "n_")
     repeated = materialize(both.union(alone).filter("n_ > 1"), "exact-repeated")
 
-    # Byte checks: the texts behind each repeated digest, salted; equal texts are combined within each salt first.
-    s = salts_for(spark)
-    salted = repeated.select("sha_", F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("salt_"))
-    met_texts = texts.select("id_", "norm_", F.sha2("norm_", 256).alias("sha_"), F.pmod(F.xxhash64("id_"), F.lit(s)).cast("int").alias("salt_")).join(salted, ["sha_", "salt_"], "left_semi")
+    # Byte checks: the texts behind each repeated digest; hot ones are salted, and equal texts combined within each salt first.
+    total = rows.count()
+    spread, wanted = salted(texts.select("id_", "norm_", F.sha2("norm_", 256).alias("sha_")), repeated.select("sha_", "n_"), "sha_", "n_", total, ["id_"])
+    met_texts = spread.join(wanted.select("sha_", "salt_"), ["sha_", "salt_"], "left_semi")
     part = met_texts.groupBy("sha_", "salt_", "norm_").agg(F.min("id_").alias("low_"), F.count(F.lit(1)).alias("n_"))
     exact = materialize(part.groupBy("sha_", "norm_").agg(F.min("low_").alias("keep_"), F.sum("n_").alias("size_")).select("sha_", F.xxhash64("norm_", F.lit(7)).alias("text_"), "keep_", "size_"), "exact-groups")
     clash = exact.groupBy("sha_").agg(F.count(F.lit(1)).alias("c_")).filter("c_ > 1").select("sha_")
@@ -171,8 +171,8 @@ def exact_groups(docs: DataFrame, in_snapshot: Column, text: str = "text", key:
 
     # Rows: repeated (id, digest) pairs are counted, so that of equal rows one can stay.
     pairs = rows.groupBy("sha_", "id_").agg(F.count(F.lit(1)).alias("m_"))
-    group = whole.select("sha_", "keep_", "size_", F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("salt_"))
-    told = pairs.withColumn("salt_", F.pmod(F.xxhash64("id_"), F.lit(s)).cast("int")).join(group, ["sha_", "salt_"], "left")
+    pairs, group = salted(pairs, whole, "sha_", "size_", total, ["id_"])
+    told = pairs.join(group, ["sha_", "salt_"], "left")
     told = told.select("id_", "sha_", "m_", F.when(F.col("size_").isNull(), F.col("id_")).otherwise(F.col("keep_")).alias("keep_"), F.coalesce("size_", "m_").alias("size_"))
     if clash.take(1):  # digests shared by different texts, which SHA-256 never showed yet: told apart by text
         hard = texts.select("id_", "norm_", F.sha2("norm_", 256).alias("sha_")).join(clash, "sha_", "left_semi").groupBy("sha_", "id_", F.xxhash64("norm_", F.lit(7)).alias("text_")).agg(F.count(F.lit(1)).alias("m_"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bpe, exact, html, langid, packing, sharding, toxicity
+from ruleweave.llm import bpe, exact, html, langid, minhash, packing, sharding, toxicity
 from ruleweave.llm.common import table
 
 
@@ -17,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,7 +60,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_bpe_round_trip, op5_best_fit_packing, op6_exact_dedup, op7_language_id, op9_sharding, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_toxicity, op4_bpe_round_trip, op5_best_fit_packing, op6_exact_dedup, op7_language_id, op9_sharding, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import materialize, salts_for
+from ruleweave.llm.common import materialize, salted, salts_for
 
 _BITS = 12
 
@@ -100,14 +100,14 @@ def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None,
     salts = salts_for(spark)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = materialize(docs.select(F.col(key).alias("id_"), (F.octet_length(raw) + 1).cast("bigint").alias("size_"), F.crc32(raw).alias("crc_"), F.sha2(raw, 256).alias("group_")), "shard-rows")
-    groups = materialize(rows.groupBy("group_").agg(F.sum("size_").alias("bytes_")).withColumn("class_", size_class(F.col("bytes_"))), "shard-groups")
+    groups = materialize(rows.groupBy("group_").agg(F.sum("size_").alias("bytes_"), F.count(F.lit(1)).alias("n_")).withColumn("class_", size_class(F.col("bytes_"))), "shard-groups")
     classes = [tuple(r) for r in groups.groupBy("class_").agg(F.count(F.lit(1)), F.sum("bytes_")).collect()]
     runs = plan(classes, capacity)[0] if capacity else plan_equal(classes, shards)
     table = spark.createDataFrame(runs or [(0, 0, 0, 0)], "class_ bigint, lo_ bigint, hi_ bigint, shard int")
     dealt = _ranked(groups, "class_", ["group_"], salts)
-    found = dealt.join(F.broadcast(table), (dealt.class_ == table.class_) & (F.col("rank_") >= F.col("lo_")) & (F.col("rank_") < F.col("hi_"))).select("group_", "shard")  # the runs are bounded by the classes
-    # A group may hold a third of all rows: groups are repeated for each salt of the rows.
-    spread = found.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = rows.withColumn("salt_", F.pmod(F.xxhash64("id_", "size_"), F.lit(salts)).cast("int")).join(spread, ["group_", "salt_"]).select("id_", "size_", "crc_", "shard")
+    found = dealt.join(F.broadcast(table), (dealt.class_ == table.class_) & (F.col("rank_") >= F.col("lo_")) & (F.col("rank_") < F.col("hi_"))).select("group_", "shard", "n_")  # the runs are bounded by the classes
+    # A group may hold a third of all rows: the rows of such are salted.
+    spread, found = salted(rows, found, "group_", "n_", rows.count(), ["id_", "size_"])
+    placed = spread.join(found, ["group_", "salt_"]).select("id_", "size_", "crc_", "shard")
     out = _ranked(materialize(placed, "shard-placed"), "shard", ["id_", "crc_", "size_"], salts * 4)
     return out.select(F.col("id_").alias(key), F.col("size_").alias("size"), F.col("crc_").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("rank_").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
