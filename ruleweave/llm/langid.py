@@ -238,6 +238,26 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     return docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")).mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = 0.0, text: str = "text") -> DataFrame:
+    """The rows whose text has a known language that holds at least a share of its letters, with all their columns; nothing is shuffled."""
+    model.clear()
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _loaded(shared.value)
+        k = len(own.langs)
+        for batch in slices(batches, text, 12_000_000 if k <= 16 else 2_000_000):
+            keep = np.zeros(len(batch), dtype=bool)
+            if k and len(batch):
+                label, lengths, letters = own.label([words_of(t) for t in batch.column(text).to_pylist()])
+                doc = np.repeat(np.arange(len(batch)), lengths)
+                by = np.bincount(doc * k + label, weights=letters, minlength=len(batch) * k).reshape(len(batch), k)
+                keep = (by.sum(1) > 0) & (by.max(1) >= least * by.sum(1))
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     return crc_of_id(F.col(key)) % 3 == 1
 

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ruleweave.llm.common import crc_of_id, materialize, slices
 
-#: Examples of each label, about; telling words at most, and the least chi-square of one; neighbours; examples in a range.
+#: Stretches of text that a task keeps. Examples of each label, about; telling words at most, and the least chi-square of one; neighbours; examples in a range.
+KNOWN = 400_000
 MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MIN_CHI2, NEIGHBOURS, RANGE = 6_000, 12_000, 4_096, 30.0, 15, 128
 _STRIP = re.compile(r"[\W_]+")
 
@@ -107,34 +108,52 @@ class Model:
         return min(1.0, max(0.0, p)), [(int(self.index.ids[i]), float(c)) for i, c in zip(at[:5], cos[:5])]
 
 
+class Counting:
+    """Counts the given words in texts; stretches of text seen before are kept with the telling words inside."""
+
+    def __init__(self, words: list[str]):
+        self.at = {w: i for i, w in enumerate(words)}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, text: str | None) -> dict[int, int]:
+        found: Counter[int] = Counter()
+        tokens, known, at = words_of(text), self.known, self.at
+        new = set(tokens).difference(known)
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = set(tokens)
+        for x in new:
+            known[x] = tuple(at[w] for w in _inner(x) if w in at)
+        for x in filter(None, map(known.__getitem__, tokens)):
+            found.update(x)
+        return dict(sorted(found.items()))
+
+
 def word_counts(docs: DataFrame, words: list[str], text: str, key: str) -> DataFrame:
-    """Of every whole text, the numbers and counts of the given words: row_ id, words_, counts_."""
-    at = {w: i for i, w in enumerate(words)}
+    """Of every whole text, the numbers and counts of the given words: key_, words_, counts_."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}  # stretches of text seen, to the telling words inside
+        count = Counting(words)
         for batch in slices(batches, "text_"):
-            numbers, counts = [], []
-            for t in batch.column("text_").to_pylist():
-                found: Counter[int] = Counter()
-                tokens = words_of(t)
-                for x in set(tokens).difference(known):
-                    if len(known) > 400_000:
-                        known.clear()
-                    known[x] = tuple(at[w] for w in _inner(x) if w in at)
-                if len(known) < len(tokens):  # emptied within this text
-                    found.update(at[w] for x in tokens for w in _inner(x) if w in at)
-                else:
-                    for x in map(known.get, tokens):
-                        if x:
-                            found.update(x)
-                numbers.append(sorted(found))
-                counts.append([found[w] for w in sorted(found)])
-            yield pa.RecordBatch.from_arrays([batch.column("key_"), pa.array(numbers, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["key_", "words_", "counts_"])
+            found = [count(t) for t in batch.column("text_").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key_"), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["key_", "words_", "counts_"])
 
     return docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")).mapInArrow(run, f"key_ {docs.schema[key].dataType.simpleString()}, words_ array<int>, counts_ array<int>")
 
 
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that score below the threshold, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        count = Counting(own.words)
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array([own.score(count(t))[0] < threshold for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def telling_words(examples: DataFrame) -> list[str]:
     """Words of examples (text_, label_) by chi-square of presence and label, the greatest first."""
 
