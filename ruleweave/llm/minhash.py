@@ -1,7 +1,8 @@
 """Operator 1: near-duplicates by min-max hashing, confirmed on full sets.
 
 Each permutation of a document's shingles gives two signature values, its minimum and its maximum, so
-64 hash evaluations a shingle make 128 values. Bands of six values bring documents together.
+64 hash evaluations a shingle make 128 values. Bands of five values bring documents together: two of
+similarity 0.8 share one with probability 0.99995.
 
 Nodes are distinct shingle sets: copies never meet. First each node is compared with one centre,
 the node it shares most bands with among the smallest ones of its buckets, which settles groups of
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ruleweave.llm.common import materialize, salted, slices
 
-WORDS, PERMUTATIONS, BAND, BLOCK, FILTER_BITS = 5, 64, 6, 1_000, 1 << 26
+WORDS, PERMUTATIONS, BAND, BLOCK, FILTER_BITS = 5, 64, 5, 1_000, 1 << 26
 CACHE_WORDS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_240_607)
