@@ -26,9 +26,10 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs with the ids (doc_id, each once)."""
-    return docs.join(ids.select(F.col("doc_id").alias("chosen_")), F.col("doc_id").eqNullSafe(F.col("chosen_")), "left_semi")
+def _chosen(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of docs with (or, how="left_anti", without) the ids."""
+    ids = ids.select(F.col("doc_id").alias("chosen_"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["chosen_"]), how)
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +40,11 @@ def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if not again.take(1):
         return kept
     # Some id has several rows: those are told apart by their text, and of equal ones one stays.
-    repeated = _chosen(docs, again)
-    sure = told.filter("kept").select(F.col("doc_id").alias("chosen_"), F.col("text_sha256").alias("sha_")).distinct()
-    some = repeated.withColumn("sha_", F.sha2(exact.normalised(F.col("text")), 256)).dropDuplicates(["doc_id", "sha_"])
-    some = some.join(sure, F.col("doc_id").eqNullSafe(F.col("chosen_")) & (some.sha_ == sure.sha_), "left_semi").drop("sha_")
-    rest = kept.join(again.select(F.col("doc_id").alias("chosen_")), F.col("doc_id").eqNullSafe(F.col("chosen_")), "left_anti")
-    return rest.unionByName(some)
+    digest = next(n for k in range(len(docs.columns) + 1) if (n := f"digest_{k}") not in docs.columns)
+    some = _chosen(docs, again).withColumn(digest, F.sha2(exact.normalised(F.col("text")), 256)).dropDuplicates(["doc_id", digest])
+    sure = told.filter("kept").select(F.col("doc_id").alias("chosen_"), F.col("text_sha256").alias("sure_")).distinct()
+    some = some.join(sure, some["doc_id"].eqNullSafe(sure["chosen_"]) & (some[digest] == sure["sure_"]), "left_semi").drop(digest)
+    return _chosen(kept, again, "left_anti").unionByName(some)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
