@@ -29,6 +29,9 @@ from ruleweave.llm.common import materialize
 #: Projected dimensions, rows of a cell about, cells and sampled rows at most, rows of a tree's leaf.
 DIMENSIONS, CELL, MAX_CELLS, SAMPLE, LEAF, CONFIDENCE = 8, 16_384, 4_096, 50_000, 64, 0.99
 
+#: By how much equal projections may differ.
+_ROUNDING = 1e-9
+
 
 def chi2_cdf(x: np.ndarray, m: int = DIMENSIONS) -> np.ndarray:
     """Of an even number of degrees of freedom."""
@@ -110,9 +113,10 @@ class Tree:
         """Leaves by projected distance, verified on true distances until the test holds for the k-th found, or the bound known before."""
         gap = np.sqrt((np.maximum(0, np.maximum(self.low - own, own - self.high)) ** 2).sum(1))
         best: list[tuple[float, int]] = []
+        slack = _ROUNDING * (1 + float(np.abs(own).max()))
         for leaf in np.argsort(gap, kind="stable"):
             worst = min(bound, best[k - 1][0] if len(best) >= k else math.inf)
-            if gap[leaf] > worst * reach:
+            if gap[leaf] > worst * reach + slack:
                 break
             at = self.leaves[leaf]
             at = at[ids[at] != self_id]
@@ -190,7 +194,7 @@ def search(vectors: DataFrame, k: int = 10, queries: str = "id_ % 100 = 0", key:
             own = _matrix(batch.column("vec_"), width) @ matrix
             rows_, to = [], []
             for i, (p, home, bound) in enumerate(zip(own, batch.column("cell_").to_pylist(), batch.column("bound_").to_pylist())):
-                near = np.flatnonzero(cells.distances(p) <= bound * reach)
+                near = np.flatnonzero(cells.distances(p) <= bound * reach + _ROUNDING * (1 + np.abs(p).max()))
                 near = near[near != home]
                 rows_ += [i] * len(near)
                 to += near.tolist()
