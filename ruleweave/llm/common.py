@@ -97,3 +97,19 @@ def salted(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int,
     spread = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_"), "left")
     spread = spread.withColumn("salt_", F.when(F.col("hot_").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.lit(s)).cast("int"))).drop("hot_")
     return spread, groups.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > least, s - 1).otherwise(0))))
+
+
+#: Bits of the filters that let rows pass by a join: 8 MB, whatever the input. A full filter costs time, never rows.
+FILTER_BITS = 1 << 26
+
+
+def may_match(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """rows with maybe_: false only where no wanted row has an equal key. The filter's parts are broadcast; no row is shuffled."""
+    place = F.pmod(F.xxhash64(wanted_key), F.lit(FILTER_BITS))
+    maps = wanted.select(place.alias("place_")).groupBy(F.bitmap_bucket_number("place_").alias("part_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place_")).alias("map_"))
+    placed = rows.withColumn("at_", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("in_", F.bitmap_bucket_number("at_"))
+    met = placed.join(F.broadcast(maps), F.col("in_") == F.col("part_"), "left")
+    bit = F.bitmap_bit_position("at_")
+    byte = F.conv(F.hex(F.substring("map_", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
+    return met.withColumn("maybe_", F.coalesce(set_, F.lit(False))).drop("at_", "in_", "part_", "map_")

@@ -5,7 +5,7 @@ digests. Digests of a new batch are screened by the filter of their bucket: nega
 snapshot and only meet their own batch; positives join the exact buckets. Wherever two rows share a
 digest, the texts themselves are compared: groups are those of equal bytes, not of equal digests.
 
-Only digests and ids are shuffled, and of repeated digests the texts. Counts are combined before
+Only digests and ids are shuffled, and of repeated digests the texts, which a filter of fixed size tells from the others. Counts are combined before
 shuffles, and repeated digests are salted, so a text that holds a third of all rows is split.
 
 Null text counts as empty. Repeated rows (equal doc_id and text): all but one are dropped. Null ids
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import crc_of_id, materialize, salted
+from ruleweave.llm.common import crc_of_id, materialize, may_match, salted
 
 #: Digests for which one filter is made, about; at 9 bits each.
 DIGESTS_PER_FILTER = 200_000
@@ -162,7 +162,8 @@ def exact_groups(docs: DataFrame, in_snapshot: Column, text: str = "text", key:
 
     # Byte checks: the texts behind each repeated digest; hot ones are salted, and equal texts combined within each salt first.
     total = rows.count()
-    spread, wanted = salted(texts.select("id_", "norm_", F.sha2("norm_", 256).alias("sha_")), repeated.select("sha_", "n_"), "sha_", "n_", total, ["id_"])
+    some = may_match(texts.select("id_", "norm_", F.sha2("norm_", 256).alias("sha_")), F.col("sha_"), repeated, F.col("sha_")).filter("maybe_").drop("maybe_")
+    spread, wanted = salted(some, repeated.select("sha_", "n_"), "sha_", "n_", total, ["id_"])
     met_texts = spread.join(wanted.select("sha_", "salt_"), ["sha_", "salt_"], "left_semi")
     part = met_texts.groupBy("sha_", "salt_", "norm_").agg(F.min("id_").alias("low_"), F.count(F.lit(1)).alias("n_"))
     exact = materialize(part.groupBy("sha_", "norm_").agg(F.min("low_").alias("keep_"), F.sum("n_").alias("size_")).select("sha_", F.xxhash64("norm_", F.lit(7)).alias("text_"), "keep_", "size_"), "exact-groups")
