@@ -38,7 +38,7 @@ _A = (_rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1))
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
 
 
-class _Words(dict):
+class Words(dict):
     """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
     """id_, n_ (distinct shingles), set_ (digest of the set; null if empty) and signature_ of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = Words()
         for batch in slices(batches, "text_"):
             sets = shingle_sets(batch.column("text_").to_pylist(), words)
             full = [s for s in sets if len(s)]
@@ -154,7 +154,7 @@ def node_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFr
     shared = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = Words()
         for batch in batches:
             # bitmap_bucket_number counts from 1 and holds positions 1 to 32768; position 0 belongs to bucket 0
             p = batch.column("p_").to_numpy() - 1

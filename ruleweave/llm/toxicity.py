@@ -1,7 +1,8 @@
 """Operator 3: toxicity by nearest labelled examples.
 
-Labelled documents, sampled to a documented bound, become examples: TF-IDF vectors over the words
-whose presence tells the labels apart (chi-square), with document frequencies of all documents. An
+Labelled documents, sampled to a documented bound and without near copies (one for each least shingle hash), become
+examples: TF-IDF vectors over the words whose presence raises the rate of toxic ones (chi-square and
+lift), with document frequencies of all documents. An
 inverted index over ranges of examples keeps, for each word, the greatest weight in each range. A
 text's exact nearest examples by cosine are found range by range, most promising first, until no
 range can hold a nearer one. Their labels vote, weighted by nearness and by how thinly their class
@@ -26,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.llm.common import crc_of_id, materialize, slices
+from ruleweave.llm.minhash import Words, shingle_sets
 
-#: Stretches of text that a task keeps. Examples of each label, about; telling words at most, and the least chi-square of one; neighbours; examples in a range.
+#: Stretches of text that a task keeps. Examples of each label, about; telling words at most, and the least chi-square and lift of one; neighbours; examples in a range.
 KNOWN = 400_000
-MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MIN_CHI2, NEIGHBOURS, RANGE = 6_000, 12_000, 4_096, 30.0, 15, 128
+MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MIN_CHI2, MIN_LIFT, NEIGHBOURS, RANGE = 6_000, 12_000, 4_096, 30.0, 3.0, 15, 128
 _STRIP = re.compile(r"[\W_]+")
 
 
@@ -92,6 +94,7 @@ class Index:
 class Model:
     def __init__(self, words: list[str], idf: np.ndarray, index: Index, base: float, prior: float):
         self.words, self.idf, self.index, self.base, self.prior = words, idf, index, base, prior
+        self.scored: dict[tuple, tuple[float, list[tuple[int, float]]]] = {}
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         raw = {w: (1 + math.log(n)) * float(self.idf[w]) for w, n in counts.items()}
@@ -99,7 +102,17 @@ class Model:
         return {w: x / norm for w, x in raw.items()} if norm else {}
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
-        at, cos = self.index.nearest(self.vector(counts), NEIGHBOURS) if counts else ((), ())
+        if not counts:
+            return self.base, []
+        key = tuple(counts.items())
+        if key not in self.scored:
+            if len(self.scored) > 50_000:
+                self.scored.clear()
+            self.scored[key] = self._score(counts)
+        return self.scored[key]
+
+    def _score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
+        at, cos = self.index.nearest(self.vector(counts), NEIGHBOURS)
         if not len(at):
             return self.base, []
         near = self.index.weights[at] / (1.05 - np.minimum(cos, 1.0))
@@ -172,7 +185,7 @@ def telling_words(examples: DataFrame) -> list[str]:
     p, q = map(float, totals[0])
     a, b = F.col("pos_"), F.col("neg_")
     chi2 = (p + q) * F.pow(a * q - b * p, 2) / (p * q * (a + b) * (p + q - a - b))
-    rows = sums.filter((F.col("word_") != "") & (a + b < p + q)).withColumn("chi2_", chi2).filter(F.col("chi2_") >= MIN_CHI2)
+    rows = sums.filter((F.col("word_") != "") & (a + b < p + q)).withColumn("chi2_", chi2).filter((F.col("chi2_") >= MIN_CHI2) & (a * (p + q) >= MIN_LIFT * p * (a + b)))
     return [r.word_ for r in rows.orderBy(F.desc("chi2_"), "word_").limit(MAX_WORDS).select("word_").collect()]
 
 
@@ -185,11 +198,26 @@ def sampled(labels: DataFrame, key: str, label: str) -> tuple[DataFrame, dict[in
     return known.filter(h < F.when(F.col("label_") == 1, int(share[1] * (1 << 20)) + 1).otherwise(int(share[0] * (1 << 20)) + 1)), share
 
 
+def without_copies(examples: DataFrame) -> DataFrame:
+    """key_ and label_ of one example (key_, text_, label_) for each least hash of a shingle, so that groups of copies count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in slices(batches, "text_"):
+            sets = shingle_sets(batch.column("text_").to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([batch.column("key_"), batch.column("label_"), pa.array([int(x[:1].view(np.int64)[0]) if len(x) else None for x in sets], pa.int64())], ["key_", "label_", "sketch_"])
+
+    rows = examples.mapInArrow(run, f"key_ {examples.schema['key_'].dataType.simpleString()}, label_ int, sketch_ bigint")
+    return rows.groupBy("sketch_").agg(F.min(F.struct("key_", "label_")).alias("e_")).select("e_.*")
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[Model, DataFrame]:
     """The model, and the telling words of every document (key_, words_, counts_)."""
     chosen, share = sampled(labels, key, label)
     chosen = F.broadcast(materialize(chosen, "toxicity-sample"))  # about MAX_TOXIC + MAX_CLEAN rows
-    examples = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")).join(chosen, "key_")
+    texts = materialize(docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")).join(chosen, "key_").select("key_", "text_", "label_"), "toxicity-examples")
+    chosen = F.broadcast(materialize(without_copies(texts), "toxicity-sample"))
+    examples = texts.drop("label_").join(chosen, "key_")
     words = telling_words(examples.select("text_", "label_"))
     counts = materialize(word_counts(docs, words, text, key), "toxicity-counts")
     total = counts.count()
