@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweave.llm import exact, langid, minhash, packing, toxicity
-from ruleweave.llm.common import materialize, table
+from ruleweave.llm.common import materialize, may_match, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,18 @@ def _chosen(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFram
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["chosen_"]), how)
 
 
+def _without(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows of docs but for ids of which told keeps no row. Rows that a fixed-size filter tells from those are not shuffled."""
+    dropped = materialize(told.groupBy("doc_id").agg(F.max("kept").alias("kept_")).filter("not kept_").select(F.col("doc_id").alias("dropped_")), "pipeline-dropped")
+    met = may_match(docs.select(F.struct("*").alias("row_"), F.col("doc_id").alias("match_")), F.col("match_"), dropped, F.col("dropped_"))
+    some = met.filter("maybe_").join(dropped, F.col("match_").eqNullSafe(F.col("dropped_")), "left_anti")
+    return met.filter("not maybe_").select("row_.*").unionByName(some.select("row_.*"))
+
+
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     told = materialize(exact.exact_groups(docs, exact.half_snapshot()), "pipeline-exact")
-    kept = _chosen(docs, told.filter("kept").select("doc_id").distinct())
+    kept = _without(docs, told)
     again = told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_")).filter("n_ > 1")
     if not again.take(1):
         return kept
@@ -49,8 +57,7 @@ def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    told = minhash.near_duplicates(docs, percent=80)
-    return _chosen(docs, told.filter("kept").select("doc_id").distinct())
+    return _without(docs, minhash.near_duplicates(docs, percent=80))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
