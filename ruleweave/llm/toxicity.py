@@ -1,8 +1,8 @@
 """Operator 3: toxicity by nearest labelled examples.
 
 Labelled documents, sampled to a documented bound and without near copies (one for each least shingle hash), become
-examples: TF-IDF vectors over the words whose presence raises the rate of toxic ones (chi-square and
-lift), with document frequencies of all documents. An
+examples: TF-IDF vectors over the words that toxic examples hold more often than clean ones (chi-square and
+ratio of rates, which don't depend on how thinly each label was sampled), with document frequencies of all documents. An
 inverted index over ranges of examples keeps, for each word, the greatest weight in each range. A
 text's exact nearest examples by cosine are found range by range, most promising first, until no
 range can hold a nearer one. Their labels vote, weighted by nearness and by how thinly their class
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ruleweave.llm.common import crc_of_id, materialize, slices
 from ruleweave.llm.minhash import Words, shingle_sets
 
-#: Stretches of text that a task keeps. Examples of each label, about; telling words at most, and the least chi-square and lift of one; neighbours; examples in a range.
+#: Stretches of text that a task keeps. Examples of each label, about; telling words at most, and the least chi-square of one and ratio of its rates in toxic and clean examples; neighbours; examples in a range.
 KNOWN = 400_000
 MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MIN_CHI2, MIN_LIFT, NEIGHBOURS, RANGE = 6_000, 12_000, 4_096, 30.0, 3.0, 15, 128
 _STRIP = re.compile(r"[\W_]+")
@@ -185,7 +185,7 @@ def telling_words(examples: DataFrame) -> list[str]:
     p, q = map(float, totals[0])
     a, b = F.col("pos_"), F.col("neg_")
     chi2 = (p + q) * F.pow(a * q - b * p, 2) / (p * q * (a + b) * (p + q - a - b))
-    rows = sums.filter((F.col("word_") != "") & (a + b < p + q)).withColumn("chi2_", chi2).filter((F.col("chi2_") >= MIN_CHI2) & (a * (p + q) >= MIN_LIFT * p * (a + b)))
+    rows = sums.filter((F.col("word_") != "") & (a + b < p + q)).withColumn("chi2_", chi2).filter((F.col("chi2_") >= MIN_CHI2) & (a * q >= MIN_LIFT * p * b))
     return [r.word_ for r in rows.orderBy(F.desc("chi2_"), "word_").limit(MAX_WORDS).select("word_").collect()]
 
 

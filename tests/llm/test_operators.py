@@ -183,6 +183,19 @@ def test_toxicity(spark):
     assert {(x.doc_id, x.score) for x in toxicity.toxicity(docs_of(spark, rows), flipped).collect()} == {(x.doc_id, x.score) for x in got}
 
 
+@pytest.mark.parametrize("every, caps", [(6, (60, 60)), (6, (60, 120)), (3, (6_000, 12_000)), (2, (6_000, 12_000))])
+def test_toxicity_at_any_ratio(spark, monkeypatch, every, caps):
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", caps[0])
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", caps[1])
+    r = random.Random(6)
+    rows = [(i, words(r, 60) + " scum idiot" * (i % every == 0)) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % every == 0)) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    assert all(x.predicted == (x.doc_id % every == 0) for x in toxicity.toxicity(docs, labels).collect())
+    kept = toxicity.keep_clean(docs, toxicity.fit(docs, labels)[0])
+    assert {x.doc_id for x in kept.collect()} == {i for i, _ in rows if i % every}
+
+
 def test_toxicity_without_anything(spark, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.toxicity(empty, labels).count() == 0
