@@ -150,6 +150,8 @@ def node_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFr
     parts = wanted.select(position.alias("p_")).groupBy(F.bitmap_bucket_number("p_").alias("b_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p_")).alias("m_")).collect()
     bits = np.zeros(FILTER_BITS // 8 + 8192, dtype=np.uint8)
     for r in parts:
+        if not r.b_:
+            continue  # position 0 alone, which always passes below
         bits[(r.b_ - 1) * 4096 : r.b_ * 4096] = np.frombuffer(r.m_, dtype=np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 

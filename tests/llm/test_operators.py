@@ -99,6 +99,14 @@ def test_hot_bucket_pairs_cross_blocks(spark):
     assert [x[0] for x in got] == [10]
 
 
+def test_near_duplicates_at_filter_position_0(spark):
+    # Ids whose hash is 0 modulo FILTER_BITS; the third is another one.
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = docs_of(spark, [(194350146, base), (292653225, base + " end"), (7, base + " last")])
+    assert docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(minhash.FILTER_BITS)) == 0).count() == 2
+    assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == {7}
+
+
 def test_components(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("z1", "z2"), ("z2", "z1")]
     links = spark.createDataFrame([(a.encode(), b.encode()) for a, b in chain], "a_ binary, b_ binary")
