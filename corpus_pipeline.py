@@ -1,7 +1,7 @@
 """A corpus pipeline: documents in, packed training sequences out.
 
-Stages, each over all rows that the one before kept: language identification (texts without any known
-language go), toxicity (texts predicted toxic go), exact de-duplication, near-duplicates (one document of
+Stages, each over all rows that the one before kept: language identification (texts without
+letters go, and those mostly in scripts of no learned language), toxicity (texts predicted toxic go), exact de-duplication, near-duplicates (one document of
 each group stays) and best-fit packing. All but the last return the columns of documents.
 """
 
@@ -16,7 +16,7 @@ from ruleweave.llm.common import materialize, may_match, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters of a known language."""
+    """Documents with letters, at least half of them in scripts of learned languages."""
     return langid.keep_known(docs, langid.fit(docs, ~langid.held_out()))
 
 

@@ -6,7 +6,8 @@ character n-grams, and Viterbi with a penalty for switching labels the words, so
 into spans of one language. The text's language is the one that holds most letters; the score is its
 share of them.
 
-Null texts and texts without letters are `und` with score 0. Ties go to the language first by name. With no training
+Null texts, texts without letters and texts with more than half of their letters in scripts of no learned
+language are `und` with score 0. A language that was not learned, in a script that was, is not told from the learned ones. Ties go to the language first by name. With no training
 rows every text is `und`. Repeated rows and ids are predicted each for themselves.
 """
 
@@ -77,8 +78,9 @@ class Model:
         self.ids: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.langs)), dtype=np.float32)
         self.letters = np.zeros(0, dtype=np.int64)
+        self.strange = np.zeros(0, dtype=np.int64)
 
-    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         buckets, owners, letters, scripts = _features(words)
         n, k = len(words), len(self.langs)
         out = np.zeros((n, k), dtype=np.float32)
@@ -88,7 +90,7 @@ class Model:
         barred = ~self.allowed[scripts] & self.allowed[scripts].any(1, keepdims=True)
         out[barred] -= 2 * SWITCH
         out[~self.allowed[scripts].any(1) | (letters == 0)] = 0
-        return out, letters
+        return out, letters, np.where(self.allowed[scripts].any(1), 0, letters)
 
     def lookup(self, texts: list[list[str]]) -> list[list[int]]:
         """Numbers of the texts' words; new words are scored together."""
@@ -101,17 +103,22 @@ class Model:
             for w in set(words).difference(ids):
                 new.setdefault(w, base + len(new))
         if new:
-            scores, letters = self.score(list(new))
-            self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
+            scores, letters, strange = self.score(list(new))
+            self.scores, self.letters, self.strange = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters]), np.concatenate([self.strange, strange])
             ids.update(new)
         return [list(map(ids.__getitem__, words)) for words in texts]
 
-    def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language of every word of every text, the texts' lengths in words, and the words' letters."""
+    def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language of every word of every text, the texts' lengths in words, the letters of each language in each text, and whether a text has letters, at least half of them in scripts of learned languages."""
         found = self.lookup(texts)
         lengths = np.array([len(x) for x in found], dtype=np.int64)
         flat = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(lengths.sum()))
-        return viterbi(self.scores[flat], lengths), lengths, self.letters[flat]
+        label = viterbi(self.scores[flat], lengths)
+        n, k = len(texts), len(self.langs)
+        doc = np.repeat(np.arange(n), lengths)
+        by = np.bincount(doc * k + label, weights=self.letters[flat], minlength=n * k).reshape(n, k)
+        total = by.sum(1)
+        return label, lengths, by, (total > 0) & (2 * np.bincount(doc, weights=self.strange[flat], minlength=n) <= total)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -215,13 +222,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
             texts = [words_of(t) for t in batch.column("text_").to_pylist()]
             preds, scores, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
             if k and texts:
-                label, lengths, letters = own.label(texts)
-                doc = np.repeat(np.arange(len(texts)), lengths)
-                by = np.bincount(doc * k + label, weights=letters, minlength=len(texts) * k).reshape(len(texts), k)
-                total = by.sum(1)
+                label, lengths, by, known = own.label(texts)
                 best = by.argmax(1)
-                preds = [own.langs[b] if n else UNKNOWN for b, n in zip(best, total)]
-                scores = np.where(total > 0, by[np.arange(len(texts)), best] / np.maximum(total, 1), 0.0)
+                preds = [own.langs[b] if y else UNKNOWN for b, y in zip(best, known)]
+                scores = np.where(known, by[np.arange(len(texts)), best] / np.maximum(by.sum(1), 1), 0.0)
                 if with_spans:
                     ends = np.cumsum(lengths)
                     for i, (e, m) in enumerate(zip(ends, lengths)):
@@ -249,10 +253,8 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.0, text: str = "t
         for batch in slices(batches, text, 12_000_000 if k <= 16 else 2_000_000):
             keep = np.zeros(len(batch), dtype=bool)
             if k and len(batch):
-                label, lengths, letters = own.label([words_of(t) for t in batch.column(text).to_pylist()])
-                doc = np.repeat(np.arange(len(batch)), lengths)
-                by = np.bincount(doc * k + label, weights=letters, minlength=len(batch) * k).reshape(len(batch), k)
-                keep = (by.sum(1) > 0) & (by.max(1) >= least * by.sum(1))
+                _, _, by, known = own.label([words_of(t) for t in batch.column(text).to_pylist()])
+                keep = known & (by.max(1) >= least * by.sum(1))
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

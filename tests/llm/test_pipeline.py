@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from ruleweave.llm import langid
 from tests.llm.test_operators import DATA, SCHEMA, docs_of, plain_set, rows  # noqa: F401
 
 
@@ -26,6 +27,15 @@ def test_near_stage_and_filters(spark):
     assert kept.columns == docs.columns and kept.filter("text is null or text = '12 34'").count() == 0
 
 
+def test_language_stage_drops_strange_scripts(spark):
+    made = [(1, "слово и ещё слова"), (2, "the thing слово и ещё слова"), (3, "the thing here and слово"), (4, "中文")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in made] + [(10 + i, "the thing here and there", "en", "s", 0) for i in range(10)], SCHEMA)
+    kept = corpus_pipeline.known_language(spark, docs, DATA)
+    assert {r.doc_id for r in kept.collect()} == {3, *range(10, 20)}
+    told = {r.doc_id: (r.lang_pred, r.score > 0) for r in langid.identify(docs).collect()}
+    assert [told[i] for i in (1, 2, 3, 4)] == [("und", False)] * 2 + [("en", True), ("und", False)]
+
+
 def test_whole(spark):
     out = corpus_pipeline.run(spark, DATA)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
