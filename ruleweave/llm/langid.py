@@ -24,14 +24,20 @@ from pyspark.sql import functions as F
 
 from ruleweave.llm.common import crc_of_id, slices
 
-#: Training rows taken at most (about, by a hash of the id), and languages; n-gram buckets; nats for a switch.
-MAX_TRAIN, MAX_LANGS, BUCKETS, SWITCH, MIN_SCRIPT = 12_000, 64, 1 << 16, 12.0, 0.02
-CACHE_WORDS = 400_000
+#: Training rows taken (about, by a hash of the id) of all languages together, and the least of each that has so many; n-gram buckets; nats for a switch.
+MAX_TRAIN, LEAST_TRAIN, BUCKETS, SWITCH, MIN_SCRIPT = 12_000, 500, 1 << 16, 12.0, 0.02
+#: Words kept with their scores, and characters in a slice, for up to 16 languages; see _bounds.
+CACHE_WORDS, CHARS = 400_000, 12_000_000
 UNKNOWN = "und"
 _STARTS, _SCRIPTS = np.array([0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3190, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0xFB50, 0xFE00, 0x20000]), np.array([0, 1, 2, 3, 4, 5, 3, 6, 7, 3, 8, 3, 3, 9, 3, 0, 1, 0, 10, 11, 9, 11, 11, 3, 9, 3, 11, 0, 5, 0, 11])
 N_SCRIPTS = 12  # Latin, Greek, Cyrillic, other, Hebrew, Arabic, Devanagari, Bengali, Thai, Hangul, kana, Han
 
 
+def _bounds(k: int) -> tuple[int, int]:
+    """CACHE_WORDS and CHARS for k languages, so that memory doesn't grow with them."""
+    return CACHE_WORDS * 64 // max(64, k), CHARS if k <= 16 else 2_000_000 * 64 // max(64, k)
+
+
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all words' n-grams (1 to 4 characters, spaces around): bucket and owner; each word's letters and script."""
     cleaned = [" ".join("".join([c if c.isalpha() else " " for c in w]).split()) if not w.isalpha() else w for w in words]
@@ -94,7 +100,7 @@ class Model:
 
     def lookup(self, texts: list[list[str]]) -> list[list[int]]:
         """Numbers of the texts' words; new words are scored together."""
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.ids) > _bounds(len(self.langs))[0]:
             self.clear()
         ids = self.ids
         new: dict[str, int] = {}
@@ -170,38 +176,50 @@ def words_of(text: str | None) -> list[str]:
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Learn from the rows that train marks, sampled by a hash of the id to about MAX_TRAIN rows in all."""
+    """Learn from the rows that train marks: about MAX_TRAIN of them by a hash of the id, but about LEAST_TRAIN of each language that has so many, and else all of it."""
     known = docs.filter(train & F.col(lang).isNotNull())
-    langs = [r[0] for r in known.groupBy(lang).agg(F.count(F.lit(1)).alias("n_")).orderBy(F.desc("n_"), lang).limit(MAX_LANGS).collect()]
-    langs = sorted(langs)
-    n = known.count()
-    share = min(1.0, MAX_TRAIN / max(1, n))
-    chosen = known.filter(F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count(F.lit(1)).alias("n_")).collect()}  # a row for each language
+    langs = sorted(counts)
+    if not langs:
+        return Model([], np.zeros((0, BUCKETS)), np.zeros((0, N_SCRIPTS)))
+    common = MAX_TRAIN / sum(counts.values())
+    below = F.broadcast(docs.sparkSession.createDataFrame([(x, int(min(1.0, max(common, LEAST_TRAIN / n)) * (1 << 20)) + 1) for x, n in counts.items()], "of_ string, below_ int").coalesce(1))
+    hashed = known.select(F.col(text).alias("text_"), F.col(lang).alias("lang_"), F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(1 << 20)).alias("h_"))
+    chosen = hashed.join(below, (F.col("lang_") == F.col("of_")) & (F.col("h_") < F.col("below_"))).select("text_", "lang_")
     at = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(at), BUCKETS + N_SCRIPTS), dtype=np.int64)
+        sums: dict[int, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for x, own in sums.items():
+                bucket = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), x, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(own[bucket])], ["lang_", "bucket_", "n_"])
+            sums.clear()
+
         for batch in slices(batches, "text_"):
             by: dict[int, dict[str, int]] = {}
             for t, x in zip(batch.column("text_").to_pylist(), batch.column("lang_").to_pylist()):
-                if x in at:
-                    own = by.setdefault(at[x], {})
-                    for w in words_of(t):
-                        own[w] = own.get(w, 0) + 1
+                own = by.setdefault(at[x], {})
+                for w in words_of(t):
+                    own[w] = own.get(w, 0) + 1
             for x, own in by.items():
+                if x not in sums:
+                    if len(sums) >= 64:
+                        yield from told()
+                    sums[x] = np.zeros(BUCKETS + N_SCRIPTS, dtype=np.int64)
                 times = np.array(list(own.values()), dtype=np.int64)
                 buckets, owners, letters, scripts = _features(list(own))
-                sums[x, :BUCKETS] += np.bincount(buckets, weights=times[owners], minlength=BUCKETS).astype(np.int64)
-                sums[x, BUCKETS:] += np.bincount(scripts, weights=letters * times, minlength=N_SCRIPTS).astype(np.int64)
-        lang_, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(lang_), pa.array(bucket), pa.array(sums[lang_, bucket])], ["lang_", "bucket_", "n_"])
-
-    rows = chosen.select(F.col(text).alias("text_"), F.col(lang).alias("lang_")).mapInArrow(count, "lang_ bigint, bucket_ bigint, n_ bigint").groupBy("lang_", "bucket_").agg(F.sum("n_").alias("n_"))
-    table = rows.toArrow() if langs else None  # at most MAX_LANGS * BUCKETS rows
-    sums = np.zeros((len(langs), BUCKETS + N_SCRIPTS))
-    if table is not None and table.num_rows:
+                sums[x][:BUCKETS] += np.bincount(buckets, weights=times[owners], minlength=BUCKETS).astype(np.int64)
+                sums[x][BUCKETS:] += np.bincount(scripts, weights=letters * times, minlength=N_SCRIPTS).astype(np.int64)
+        yield from told()
+
+    rows = chosen.mapInArrow(count, "lang_ int, bucket_ int, n_ bigint").groupBy("lang_", "bucket_").agg(F.sum("n_").alias("n_"))
+    table = rows.toArrow()  # at most BUCKETS + N_SCRIPTS rows a language
+    sums = np.zeros((len(langs), BUCKETS + N_SCRIPTS), dtype=np.float32)
+    if table.num_rows:
         sums[table.column("lang_").to_numpy(), table.column("bucket_").to_numpy()] = table.column("n_").to_numpy()
-    return Model(langs, sums[:, :BUCKETS], sums[:, BUCKETS:])
+    return Model(langs, sums[:, :BUCKETS].astype(float) if len(langs) <= 64 else sums[:, :BUCKETS], sums[:, BUCKETS:])
 
 
 @functools.lru_cache(maxsize=1)
@@ -212,13 +230,13 @@ def _loaded(raw: bytes) -> Model:
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", with_spans: bool = False) -> DataFrame:
     """doc_id, held_out_, lang_pred, score for each row; with_spans adds spans (language, first word, end word)."""
     model.clear()
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # MAX_LANGS * BUCKETS * 4 bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # BUCKETS * 4 bytes a language
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<lang:string,begin:bigint,end:bigint>>" * with_spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _loaded(shared.value)
         k = len(own.langs)
-        for batch in slices(batches, "text_", 12_000_000 if k <= 16 else 2_000_000):
+        for batch in slices(batches, "text_", _bounds(k)[1]):
             texts = [words_of(t) for t in batch.column("text_").to_pylist()]
             preds, scores, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
             if k and texts:
@@ -250,7 +268,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.0, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _loaded(shared.value)
         k = len(own.langs)
-        for batch in slices(batches, text, 12_000_000 if k <= 16 else 2_000_000):
+        for batch in slices(batches, text, _bounds(k)[1]):
             keep = np.zeros(len(batch), dtype=bool)
             if k and len(batch):
                 _, _, by, known = own.label([words_of(t) for t in batch.column(text).to_pylist()])

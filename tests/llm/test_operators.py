@@ -316,6 +316,22 @@ def test_language(spark):
     assert [(s.lang, s.begin, s.end) for s in spans] == [("aa", 0, 30), ("bb", 30, 70)]
 
 
+def test_rare_and_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_TRAIN", 20)
+    r = random.Random(9)
+    letters = "bcdfghjklm"
+
+    def text(k):
+        return " ".join(a + v + b for a, v, b in [(letters[k // 10], r.choice("aeiou"), letters[k % 10]) for _ in range(20)])
+
+    rows = [(1000 * k + i, text(k), f"l{k:02d}") for k in range(80) for i in range(40 if k < 10 else 4)]
+    table = spark.createDataFrame([(i, t, l, "s", 0) for i, t, l in rows], SCHEMA).repartition(3)
+    model = langid.fit(table, F.lit(True))
+    assert model.langs == sorted({l for _, _, l in rows})
+    got = {x.doc_id: x.lang_pred for x in langid.predict(table, model).collect()}
+    assert got == {i: l for i, _, l in rows}
+
+
 def test_language_without_training(spark, empty):
     assert langid.identify(empty).count() == 0
     assert [x.lang_pred for x in langid.identify(spark.createDataFrame([(1, "text", None, "s", 4)], SCHEMA)).collect()] == ["und"]
