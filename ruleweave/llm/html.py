@@ -4,7 +4,8 @@ Markup is stripped into lines, one for each block. Lines of menus, headers, foot
 adverts, forms and comments, told by element, class, id or role, count as empty, and so do lines made
 of links. Lengths are summed over sliding windows of lines; text starts at a surge of these sums and
 ends where they dive to nothing. Where a page marks its article or main element, the lines outside are
-empty too, and every line inside belongs to a surge, however short.
+empty too, and every line inside belongs to a surge, however short; an article in boilerplate, or one that is
+itself a comment or an advert, marks nothing. On other pages short lines in the container of a surge belong to it.
 
 Null, empty or text-free html gives empty text. Repeated pages are extracted each for themselves.
 """
@@ -37,17 +38,22 @@ _NOISE = re.compile(
     re.I,
 )
 _SECTIONS = {"article", "main"}
+#: An article is boilerplate if a whole class or id is a word of _NOISE, or a part of one is "comment".
+_REMARK = re.compile(r"(?:^|[\s_-])comment(?:$|[\s_-])", re.I)
+#: Blocks of lines; any other element is a container of them.
+_BLOCKS = set("p h1 h2 h3 h4 h5 h6 hgroup header address ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th".split()) | _INLINE
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
-    """Each line as (text, whether it lies inside the marked article, whether it is boilerplate), and whether any article is marked."""
-    lines: list[tuple[str, bool, bool]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
+    """Each line as (text, whether it lies inside the marked article, whether it is boilerplate, its container), and whether any article is marked."""
+    lines: list[tuple[str, bool, bool, int]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # element, inside article, boilerplate
+    stack: list[tuple[str, bool, bool, int]] = []  # element, inside article, boilerplate, container
     marked = False
     at, n = 0, len(page)
     inside = noise = False
+    box = boxes = 0
     in_link = 0
 
     def flush() -> None:
@@ -56,7 +62,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
             own = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if own:
-                lines.append((own, inside, noise or not inside and linked > 0.6 * len(own)))
+                lines.append((own, inside, noise or not inside and linked > 0.6 * len(own), box))
         linked = 0
 
     def say(part: str) -> None:
@@ -95,7 +101,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
                 while stack[-1][0] != name:
                     stack.pop()
                 stack.pop()
-                inside, noise = stack[-1][1:] if stack else (False, False)
+                inside, noise, box = stack[-1][1:] if stack else (False, False, 0)
             continue
         flush()
         if name in _VOID or attributes.rstrip().endswith("/"):
@@ -104,27 +110,28 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
             if any(e[0] == name for e in stack):
                 while stack.pop()[0] != name:
                     pass
-                inside, noise = stack[-1][1:] if stack else (False, False)
+                inside, noise, box = stack[-1][1:] if stack else (False, False, 0)
             continue
         if name == "p" or name in ("li", "td", "tr", "dd", "dt", "option"):  # closed by the next of its kind
             if stack and stack[-1][0] == name:
                 stack.pop()
-                inside, noise = stack[-1][1:] if stack else (False, False)
-        marked |= name in _SECTIONS
+                inside, noise, box = stack[-1][1:] if stack else (False, False, 0)
         noise = noise or name in _OUT or (name == "header" and not inside) or _is_noise(name, attributes)
-        inside = inside or name in _SECTIONS or bool(re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", attributes, re.I))
+        inside = inside or not noise and (name in _SECTIONS or bool(re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", attributes, re.I)))
         marked |= inside
-        stack.append((name, inside, noise))
+        if name not in _BLOCKS:
+            box = boxes = boxes + 1
+        stack.append((name, inside, noise, box))
     flush()
     return lines, marked
 
 
 def _is_noise(name: str, attributes: str) -> bool:
-    if not attributes or name in ("html", "body") or name in _SECTIONS:
+    if not attributes or name in ("html", "body", "main"):
         return False
     for m in _ATTR.finditer(attributes):
         kind, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-        if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "role" and value.lower() in _ROLES or kind in ("class", "id") and _NOISE.search(value):
+        if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "role" and value.lower() in _ROLES or kind in ("class", "id") and (any(map(_NOISE.fullmatch, value.split())) or _REMARK.search(value) if name == "article" else _NOISE.search(value)):
             return True
     return False
 
@@ -132,21 +139,22 @@ def _is_noise(name: str, attributes: str) -> bool:
 def main_text(page: str | None) -> str:
     """The lines between surges and dives of a page, joined by spaces."""
     lines, marked = lines_of(page or "")
-    keep = [not noise and (inside or not marked) for _, inside, noise in lines]
-    lengths = [len(t) if k else 0 for (t, _, _), k in zip(lines, keep)]
+    keep = [not noise and (inside or not marked) for _, inside, noise, _ in lines]
+    lengths = [len(x[0]) if k else 0 for x, k in zip(lines, keep)]
     n = len(lines)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
     best = max(sums, default=0)
     least = 1 if marked else min(SURGE, max(1, best))
-    out, open_ = [], False
+    surge, open_ = [False] * n, False
+    boxes = set()  # containers of the longest lines of surges
     for i in range(n):
-        if not open_ and lengths[i] and sums[i] >= least:
+        if lengths[i] and sums[i] >= least:
             open_ = True
+            boxes.add(lines[max(range(i, min(n, i + WINDOW)), key=lengths.__getitem__)][3])
         if open_ and not sums[i]:
             open_ = False
-        if open_ and keep[i]:
-            out.append(lines[i][0])
-    return " ".join(out)
+        surge[i] = open_
+    return " ".join(x[0] for x, k, s in zip(lines, keep, surge) if k and (s or x[3] in boxes))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

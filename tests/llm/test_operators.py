@@ -387,6 +387,19 @@ def test_pages(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "Long main text of the page. " * 10
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='content'><p>{LONG}</p></div><article class='comment'><p>no</p></article><article id='comment-7' class='odd'>no</article>", LONG.strip()),
+    (f"<div class='content'><p>{LONG}</p></div><aside><article><p>no</p></article></aside><div class='sidebar'><main>no</main></div>", LONG.strip()),
+    (f"<article class='post has-sidebar'><p>{LONG}</p><article class='comment'>no</article><p>End</p></article>", f"{LONG}End"),
+    (f"<div class='content'><h1>Title</h1><ul class='share'><li>no<li>no<li>no</ul><p>{LONG}</p><div class='ad'><p>no</p><p>no</p><p>no</p></div><p>short</p></div><div><p>Far</p></div>", f"Title {LONG}short"),
+])
+def test_pages_without_article(page, text):
+    assert html.main_text(page) == text
+
+
 def test_page_rows(spark):
     t = spark.createDataFrame([(1, "u", "<article>a</article>"), (1, "u", "<article>a</article>"), (2, None, None)], "page_id bigint, url string, html string").withColumns({"text": F.lit("x"), "html_": F.lit("y")})
     assert Counter(map(tuple, html.extract(t).collect())) == Counter([(1, "u", "a", 1)] * 2 + [(2, None, "", 0)])
