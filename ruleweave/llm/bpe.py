@@ -4,19 +4,24 @@ A vocabulary holds a fixed set of byte pairs inside its tokens. Where two neighb
 word form none of these pairs, no merge can ever join them, so the word is cut there: fragments
 are merged independently and their ids concatenated, exactly as if the whole word had been merged.
 
+Decoding turns each id into its token again.
+
 Null and empty texts give no ids and empty decoded text. Strings of special tokens in a text become
-those tokens, as in the library. Rows with equal ids or texts are encoded each for themselves.
+those tokens, as in the library. Merges follow the vocabulary's ranks, which have no ties. Rows with equal ids or texts are
+encoded each for themselves. An empty table gives no rows. Very long texts are one slice each. Other columns of the input are never read, whatever their names.
 """
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from ruleweave.llm.common import slices
 
 #: Entries of a worker's caches before they are emptied; longer keys aren't kept.
-CACHE_ENTRIES, CACHE_KEY = 350_000, 48
+CACHE_ENTRIES, CACHE_KEY = 250_000, 48
 _SUFFIX = "</w>"
 
 
@@ -81,6 +86,7 @@ class ForcedBoundaryBpe:
         self.ending, self.inner = BPE(vocab, merges, end_of_word_suffix=_SUFFIX), BPE(vocab, merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.table = [self.tokens.get(i) for i in range(max(self.tokens) + 1)]
         inside = set()
         for t in vocab:
             own = t.removesuffix(_SUFFIX)
@@ -114,18 +120,14 @@ class ForcedBoundaryBpe:
         cut[-1] += " "
         return b"".join(map(self.fragments.__getitem__, cut))
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids and decoded tokens of a stretch of normalised text without white space."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a stretch of normalised text without white space."""
         alphabet = self.alphabet
         if chunk.isascii() and chunk.isprintable() or all(c < "ɐ" and (c.isalpha() or c.isascii()) for c in chunk) and chunk.isprintable():
             words = ["".join([alphabet[b] for b in w.encode()]) for w in self.words.findall(chunk)]
         else:
             words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
-        ids = b"".join(map(self._word, words))
-        return ids, self._tokens(ids)
-
-    def _tokens(self, ids: bytes) -> str:
-        return " ".join([self.tokens[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4)])
+        return b"".join(map(self._word, words))
 
     def normalise(self, text: str) -> str:
         """As the library does: composed, white space to one space, lower case. Plain Latin text takes a fast way."""
@@ -136,28 +138,28 @@ class ForcedBoundaryBpe:
             return unicodedata.normalize("NFC", plain).lower()
         return self.library.normalizer.normalize_str(text)
 
-    def encode_bytes(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the decoded text."""
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         parts = self.split_special.split(text) if "<|" in text else [text]
-        ids, tokens = [], []
+        ids = []
         for k, part in enumerate(parts):
             if k % 2:
-                own = self.special[part]
-                ids.append(own.to_bytes(4, "little"))
-                tokens.append(self.tokens[own])
-                continue
-            found = list(map(self.chunks.__getitem__, filter(None, self.normalise(part).split(" "))))
-            ids += [x for x, _ in found]
-            tokens += [t for x, t in found if x]
-        return b"".join(ids), " ".join(tokens)
+                ids.append(self.special[part].to_bytes(4, "little"))
+            else:
+                ids += map(self.chunks.__getitem__, filter(None, self.normalise(part).split(" ")))
+        return b"".join(ids)
 
     def encode(self, text: str | None) -> list[int]:
-        raw = self.encode_bytes(text or "")[0]
-        return [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
+        return array.array("I", self.encode_bytes(text or "")).tolist()
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """Tokens joined by spaces, special ones too, as the library does where the file names no decoder. Unknown ids give nothing."""
+        found = [self.table[i] if 0 <= i < len(self.table) else None for i in ids]
+        return " ".join([t for t in found if t is not None])
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces, special ones too, as the library does where the file names no decoder."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+    def decode_bytes(self, ids: bytes) -> str:
+        """Of ids as encode_bytes gives them, all of them known."""
+        return " ".join(map(self.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -173,7 +175,8 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(path)
         for batch in slices(batches, "text_"):
-            rows = [coder.encode_bytes(t or "") for t in batch.column("text_").to_pylist()]
+            encoded = [coder.encode_bytes(t or "") for t in batch.column("text_").to_pylist()]
+            rows = [(i, coder.decode_bytes(i)) for i in encoded]
             out = [batch.column("key_"), pa.array([len(i) // 4 for i, _ in rows], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in rows], pa.string()), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in rows], pa.string())]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +38,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.table_path_ = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables whose last reader is itself a table that has been written."""
+    for df in tables:
+        for entry in [e for e in _made if e[1] == df.table_path_]:
+            _delete(*entry)
+
+
+def _delete(session: SparkSession, path: str) -> None:
+    p = session._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    _made.remove((session, path))
 
 
 def drop_tables(spark: SparkSession | None = None) -> None:
@@ -46,12 +62,9 @@ def drop_tables(spark: SparkSession | None = None) -> None:
         session, path = entry
         if spark is None or session is spark:
             try:
-                jvm = session._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+                _delete(session, path)
             except Exception:  # noqa: BLE001 - at exit the JVM may be gone already
-                pass
-            _made.remove(entry)
+                _made.remove(entry)
 
 
 atexit.register(drop_tables)
@@ -99,17 +112,43 @@ def salted(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int,
     return spread, groups.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > least, s - 1).otherwise(0))))
 
 
-#: Bits of the filters that let rows pass by a join: 8 MB, whatever the input. A full filter costs time, never rows.
-FILTER_BITS = 1 << 26
+#: Bits of the filters that let rows pass by a join, for each wanted key and at most (32 MB). A full filter costs time, never rows.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 28
+
+
+def filter_bits(wanted: int) -> int:
+    """Bits of a filter for so many keys: a power of two."""
+    return min(MOST_BITS, max(1 << 15, 1 << (BITS_PER_KEY * max(1, wanted) - 1).bit_length()))
+
+
+def _parts(wanted: DataFrame, hashed: Column, bits: int) -> DataFrame:
+    """The filter of the wanted rows in parts of 4 KB: part_, map_."""
+    placed = wanted.select((F.pmod(hashed, F.lit(bits)) + 1).alias("place_"))
+    return placed.groupBy(F.bitmap_bucket_number("place_").alias("part_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place_")).alias("map_"))
 
 
 def may_match(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """rows with maybe_: false only where no wanted row has an equal key. The filter's parts are broadcast; no row is shuffled."""
-    place = F.pmod(F.xxhash64(wanted_key), F.lit(FILTER_BITS))
-    maps = wanted.select(place.alias("place_")).groupBy(F.bitmap_bucket_number("place_").alias("part_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place_")).alias("map_"))
-    placed = rows.withColumn("at_", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("in_", F.bitmap_bucket_number("at_"))
+    """rows with maybe_: false only where no wanted row has an equal key. The filter, sized by a count of the wanted rows, is broadcast; no row is shuffled."""
+    bits = filter_bits(wanted.count())
+    maps = _parts(wanted, F.xxhash64(wanted_key), bits)
+    placed = rows.withColumn("at_", F.pmod(F.xxhash64(key), F.lit(bits)) + 1).withColumn("in_", F.bitmap_bucket_number("at_"))
     met = placed.join(F.broadcast(maps), F.col("in_") == F.col("part_"), "left")
     bit = F.bitmap_bit_position("at_")
     byte = F.conv(F.hex(F.substring("map_", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     set_ = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
     return met.withColumn("maybe_", F.coalesce(set_, F.lit(False))).drop("at_", "in_", "part_", "map_")
+
+
+class Passing:
+    """The same filter for use in Python: a key passes if the bit of its 64-bit hash is set."""
+
+    def __init__(self, wanted: DataFrame, hashed: Column):
+        self.bits = filter_bits(wanted.count())
+        made = np.zeros(self.bits // 8, dtype=np.uint8)
+        for r in _parts(wanted, hashed, self.bits).toLocalIterator():
+            made[(r.part_ - 1) * 4096 : r.part_ * 4096] = np.frombuffer(r.map_, dtype=np.uint8)
+        self.shared = wanted.sparkSession.sparkContext.broadcast(made)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.mod(hashes, np.int64(self.bits))
+        return ((self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)

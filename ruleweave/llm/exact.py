@@ -5,11 +5,14 @@ digests. Digests of a new batch are screened by the filter of their bucket: nega
 snapshot and only meet their own batch; positives join the exact buckets. Wherever two rows share a
 digest, the texts themselves are compared: groups are those of equal bytes, not of equal digests.
 
-Only digests and ids are shuffled, and of repeated digests the texts, which a filter of fixed size tells from the others. Counts are combined before
-shuffles, and repeated digests are salted, so a text that holds a third of all rows is split.
+Only digests and ids are shuffled, and of repeated digests the texts, which a filter tells from the others (of 16 bits a
+digest up to 2^28 bits; beyond, it fills and all texts are shuffled once). Counts are combined before shuffles, and repeated
+digests are salted, so a text that holds a third of all rows is split. Buckets are sized by the snapshot or the
+batch, whichever has more digests, so neither an empty snapshot nor a small one gathers a batch in one task.
 
 Null text counts as empty. Repeated rows (equal doc_id and text): all but one are dropped. Null ids
 sort last: a group of null ids only keeps one row, whose keep_id is null. An empty table gives none.
+Very long texts are rows like others; other columns of the input are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import crc_of_id, materialize, may_match, salted
+from ruleweave.llm.common import crc_of_id, discard, materialize, may_match, salted, salts_for
 
 #: Digests for which one filter is made, about; at 9 bits each.
 DIGESTS_PER_FILTER = 200_000
+#: Repeated rows of one id and text that a task writes at once.
+REPEATS = 10_000
 _U64 = np.uint64
 
 
@@ -152,7 +157,7 @@ def exact_groups(docs: DataFrame, in_snapshot: Column, text: str = "text", key:
     texts = docs.select(F.col(key).alias("id_"), normalised(F.col(text)).alias("norm_"), in_snapshot.alias("old_"))
     rows = materialize(texts.select("id_", "old_", F.sha2("norm_", 256).alias("sha_")), "exact-rows")
     old, new = (materialize(_keys(rows.filter(which)), "exact-keys") for which in (F.col("old_"), ~F.col("old_")))
-    buckets = max(1, -(-old.count() // DIGESTS_PER_FILTER))
+    buckets = max(1, -(-max(old.count(), new.count()) // DIGESTS_PER_FILTER))
     screened = screen(new, build_filters(old, buckets), buckets)
     batch = materialize(new.join(screened, "sha_"), "exact-screened")
     met = old.join(batch.filter("maybe_").select("sha_", F.col("low_").alias("low2_"), F.col("n_").alias("n2_")), "sha_", "left")
@@ -160,6 +165,8 @@ def exact_groups(docs: DataFrame, in_snapshot: Column, text: str = "text", key:
     alone = batch.join(old.select("sha_"), "sha_", "left_anti").select("sha_", "low_", "n_")
     repeated = materialize(both.union(alone).filter("n_ > 1"), "exact-repeated")
 
+    discard(old, new, batch)
+
     # Byte checks: the texts behind each repeated digest; hot ones are salted, and equal texts combined within each salt first.
     total = rows.count()
     some = may_match(texts.select("id_", "norm_", F.sha2("norm_", 256).alias("sha_")), F.col("sha_"), repeated, F.col("sha_")).filter("maybe_").drop("maybe_")
@@ -178,7 +185,11 @@ def exact_groups(docs: DataFrame, in_snapshot: Column, text: str = "text", key:
     if clash.take(1):  # digests shared by different texts, which SHA-256 never showed yet: told apart by text
         hard = texts.select("id_", "norm_", F.sha2("norm_", 256).alias("sha_")).join(clash, "sha_", "left_semi").groupBy("sha_", "id_", F.xxhash64("norm_", F.lit(7)).alias("text_")).agg(F.count(F.lit(1)).alias("m_"))
         told = told.join(clash, "sha_", "left_anti").unionByName(hard.join(exact, ["sha_", "text_"]).select("id_", "sha_", "m_", "keep_", "size_"))
-    each = told.withColumn("nth_", F.explode(F.sequence(F.lit(1), F.col("m_").cast("int"))))
+    # Rows of one id and text are written again from their count, many of them by several tasks.
+    few = told.filter(F.col("m_") <= REPEATS).withColumn("nth_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m_"))))
+    parts = told.filter(F.col("m_") > REPEATS).withColumn("part_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m_") - 1) / REPEATS)))).repartition(salts_for(spark), "part_")
+    many = parts.withColumn("nth_", F.explode(F.sequence(F.col("part_") * REPEATS + 1, F.least(F.col("m_"), (F.col("part_") + 1) * REPEATS)))).drop("part_")
+    each = few.unionByName(many)
     return each.select(F.col("id_").alias(key), F.col("keep_").alias("keep_id"), F.col("size_").alias("group_size"), (F.col("id_").eqNullSafe(F.col("keep_")) & (F.col("nth_") == 1)).alias("kept"), F.col("sha_").alias("text_sha256"))
 
 

@@ -2,12 +2,16 @@
 
 Markup is stripped into lines, one for each block. Lines of menus, headers, footers, sidebars, notices,
 adverts, forms and comments, told by element, class, id or role, count as empty, and so do lines made
-of links. Lengths are summed over sliding windows of lines; text starts at a surge of these sums and
-ends where they dive to nothing. Where a page marks its article or main element, the lines outside are
-empty too, and every line inside belongs to a surge, however short; an article in boilerplate, or one that is
-itself a comment or an advert, marks nothing. On other pages short lines in the container of a surge belong to it.
+of links. Lengths are summed over sliding windows of lines; text starts at a surge, a window that holds SURGE characters
+or half as many as the fullest one, and ends where the windows dive to nothing, so that a run of WINDOW link lines ends it, in an article too.
+Short lines in the container of a surge belong to it. Where a page marks its article or main element, the lines outside are
+empty too; an article in boilerplate, or one that is itself a comment, an advert or a list of related ones, marks nothing.
 
-Null, empty or text-free html gives empty text. Repeated pages are extracted each for themselves.
+A class or id is boilerplate if all its parts between hyphens and underscores are known words and one is a word of boilerplate: `sidebar-left` is, `form-factor` isn't.
+Scripts and styles without an end run to the end of the page, as in browsers; other elements of which the content is left out don't.
+
+Null, empty or text-free html gives empty text. Repeated pages are extracted each for themselves. An empty table gives no rows. A very long page is a slice of its own, read once from left to right.
+Other columns of the input are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from ruleweave.llm.common import slices
 
 #: Lines in a window, and the least sum of a window at a surge.
 WINDOW, SURGE = 3, 80
+#: A line counts as one of links if more than this share of it is.
+LINKED = 0.6
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "svg", "math", "object"}
@@ -31,12 +37,14 @@ _OUT = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "d
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|sponsor|sponsored|promo|promotion|banner|sidebar|side-bar|rail|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager"
-    r"|comments?|commentlist|comment-list|disqus|replies|respond|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommended"
-    r"|footer|masthead|topbar|toolbar|skip|widget|widgets|search|form|hidden)(?:$|[\s_-])",
-    re.I,
+_NOISE = set(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored promo promotion banner sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager"
+    " comment comments commentlist disqus replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login social share sharing related recommended"
+    " footer masthead topbar toolbar skip widget widgets search form hidden".split()
 )
+#: Words that may stand beside one of boilerplate in a class or id.
+_BESIDE = set("left right top bottom side main site page post article global primary secondary header box boxes bar area wrapper wrap container inner outer section block list item items link links icons button buttons group row col slot unit text content posts articles stories reply author meta body policy mobile desktop sticky fixed small large".split())
+_PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _SECTIONS = {"article", "main"}
 #: An article is boilerplate if a whole class or id is a word of _NOISE, or a part of one is "comment".
 _REMARK = re.compile(r"(?:^|[\s_-])comment(?:$|[\s_-])", re.I)
@@ -44,9 +52,9 @@ _REMARK = re.compile(r"(?:^|[\s_-])comment(?:$|[\s_-])", re.I)
 _BLOCKS = set("p h1 h2 h3 h4 h5 h6 hgroup header address ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th".split()) | _INLINE
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
-    """Each line as (text, whether it lies inside the marked article, whether it is boilerplate, its container), and whether any article is marked."""
-    lines: list[tuple[str, bool, bool, int]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, int]], bool]:
+    """Each line as (text, whether it lies inside the marked article, whether it is boilerplate, its container, characters of links), and whether any article is marked."""
+    lines: list[tuple[str, bool, bool, int, int]] = []
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool, int]] = []  # element, inside article, boilerplate, container
@@ -55,6 +63,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
     inside = noise = False
     box = boxes = 0
     in_link = 0
+    unclosed: set[str] = set()  # elements that have no end from here on
 
     def flush() -> None:
         nonlocal linked
@@ -62,7 +71,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
             own = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if own:
-                lines.append((own, inside, noise or not inside and linked > 0.6 * len(own), box))
+                lines.append((own, inside, noise, box, linked))
         linked = 0
 
     def say(part: str) -> None:
@@ -87,9 +96,11 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
         closing = m.group(1) or m.group(4)
         attributes = m.group(3) or m.group(6) or ""
         if name in _RAW and not closing:
-            if not attributes.rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/") and name not in unclosed:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                if not end and name not in ("script", "style"):
+                    unclosed.add(name)
+                at = end.end() if end else at if name in unclosed else n
             if name not in ("svg", "math"):
                 flush()
             continue
@@ -126,35 +137,47 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
     return lines, marked
 
 
+def _boilerplate(name: str) -> bool:
+    """Whether a class or id is made of words of boilerplate, and words that may stand beside them."""
+    parts = [x.lower() for x in _PART.split(name) if x]
+    return any(x in _NOISE for x in parts) and all(x in _NOISE or x in _BESIDE or x.isdigit() for x in parts)
+
+
 def _is_noise(name: str, attributes: str) -> bool:
     if not attributes or name in ("html", "body", "main"):
         return False
     for m in _ATTR.finditer(attributes):
         kind, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-        if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "role" and value.lower() in _ROLES or kind in ("class", "id") and (any(map(_NOISE.fullmatch, value.split())) or _REMARK.search(value) if name == "article" else _NOISE.search(value)):
+        if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "role" and value.lower() in _ROLES:
+            return True
+        if kind in ("class", "id") and (any(x.lower() in _NOISE for x in value.split()) or _REMARK.search(value) if name == "article" else any(map(_boilerplate, value.split()))):
             return True
     return False
 
 
-def main_text(page: str | None) -> str:
-    """The lines between surges and dives of a page, joined by spaces."""
-    lines, marked = lines_of(page or "")
-    keep = [not noise and (inside or not marked) for _, inside, noise, _ in lines]
-    lengths = [len(x[0]) if k else 0 for x, k in zip(lines, keep)]
-    n = len(lines)
+def text_lines(lengths: list[int], boxes: list[int]) -> list[bool]:
+    """Which lines are text, by the lengths of what counts in them and their containers."""
+    n = len(lengths)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    best = max(sums, default=0)
-    least = 1 if marked else min(SURGE, max(1, best))
+    least = max(1, min(SURGE, max(sums, default=0) // 2))
     surge, open_ = [False] * n, False
-    boxes = set()  # containers of the longest lines of surges
+    dense = set()  # containers of the longest lines of surges
     for i in range(n):
         if lengths[i] and sums[i] >= least:
             open_ = True
-            boxes.add(lines[max(range(i, min(n, i + WINDOW)), key=lengths.__getitem__)][3])
-        if open_ and not sums[i]:
+            dense.add(boxes[max(range(i, min(n, i + WINDOW)), key=lengths.__getitem__)])
+        if not sums[i]:
             open_ = False
         surge[i] = open_
-    return " ".join(x[0] for x, k, s in zip(lines, keep, surge) if k and (s or x[3] in boxes))
+    return [s or bool(m) and b in dense for s, m, b in zip(surge, lengths, boxes)]
+
+
+def main_text(page: str | None) -> str:
+    """The lines between surges and dives of a page, joined by spaces."""
+    lines, marked = lines_of(page or "")
+    keep = [not noise and (inside or not marked) for _, inside, noise, _, _ in lines]
+    lengths = [len(x[0]) if k and x[4] <= LINKED * len(x[0]) else 0 for x, k in zip(lines, keep)]
+    return " ".join(x[0] for x, k, t in zip(lines, keep, text_lines(lengths, [x[3] for x in lines])) if k and t)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

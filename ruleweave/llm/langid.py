@@ -1,19 +1,20 @@
 """Operator 7: languages of texts, mixed ones too.
 
-The script of a word narrows its candidate languages: a language stays if at least MIN_SCRIPT of its
-training letters are in that script. Each word gets a naive Bayes score for each candidate from hashed
+The script of a word, that of most of its letters, narrows its candidate languages: only those stay of which at least
+MIN_SCRIPT of the training letters are in that script. Each word gets a naive Bayes score for each candidate from hashed
 character n-grams, and Viterbi with a penalty for switching labels the words, so that a text falls
 into spans of one language. The text's language is the one that holds most letters; the score is its
 share of them.
 
 Null texts, texts without letters and texts with more than half of their letters in scripts of no learned
 language are `und` with score 0. A language that was not learned, in a script that was, is not told from the learned ones. Ties go to the language first by name. With no training
-rows every text is `und`. Repeated rows and ids are predicted each for themselves.
+rows every text is `und`. Repeated rows and ids are predicted each for themselves. An empty table gives no rows. A very long text is a slice of its own; where no stretch of it
+speaks for another language by more than half a switch, as in any text of one language, one pass over its scores proves the single label best, else Viterbi takes a step a word.
+Other columns of the input are never read, whatever their names.
 """
 
 from __future__ import annotations
 
-import functools
 import pickle
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from ruleweave.llm.common import crc_of_id, slices
 
 #: Training rows taken (about, by a hash of the id) of all languages together, and the least of each that has so many; n-gram buckets; nats for a switch.
 MAX_TRAIN, LEAST_TRAIN, BUCKETS, SWITCH, MIN_SCRIPT = 12_000, 500, 1 << 16, 12.0, 0.02
-#: Words kept with their scores, and characters in a slice, for up to 16 languages; see _bounds.
-CACHE_WORDS, CHARS = 400_000, 12_000_000
+#: Words that a task keeps with their scores, and characters in a slice, for up to 64 languages; see _bounds. Nats by which a barred language loses a word.
+CACHE_WORDS, CHARS, BARRED = 200_000, 2_000_000, 1e6
 UNKNOWN = "und"
 _STARTS, _SCRIPTS = np.array([0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3190, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0xFB50, 0xFE00, 0x20000]), np.array([0, 1, 2, 3, 4, 5, 3, 6, 7, 3, 8, 3, 3, 9, 3, 0, 1, 0, 10, 11, 9, 11, 11, 3, 9, 3, 11, 0, 5, 0, 11])
 N_SCRIPTS = 12  # Latin, Greek, Cyrillic, other, Hebrew, Arabic, Devanagari, Bengali, Thai, Hangul, kana, Han
@@ -35,7 +36,7 @@ N_SCRIPTS = 12  # Latin, Greek, Cyrillic, other, Hebrew, Arabic, Devanagari, Ben
 
 def _bounds(k: int) -> tuple[int, int]:
     """CACHE_WORDS and CHARS for k languages, so that memory doesn't grow with them."""
-    return CACHE_WORDS * 64 // max(64, k), CHARS if k <= 16 else 2_000_000 * 64 // max(64, k)
+    return CACHE_WORDS * 64 // max(64, k), CHARS * 64 // max(64, k)
 
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +45,6 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     joined = " " + "  ".join(cleaned) + "  "
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lengths = np.array([len(w) for w in cleaned], dtype=np.int64)
-    begin = np.concatenate([[1], 1 + np.cumsum(lengths + 2)[:-1]]) if len(words) else np.zeros(0, np.int64)
     owner = np.full(len(code), -1, dtype=np.int64)
     inner = np.repeat(np.arange(len(words)), lengths + 2)
     owner[: len(inner)] = inner  # a word owns the space before and after it
@@ -64,8 +64,13 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
             buckets.append(((mixed >> np.uint64(33)) % np.uint64(BUCKETS)).astype(np.int64)[ok])
             owners.append(owner[:m][ok])
     letters = np.array([len(w) - w.count(" ") for w in cleaned], dtype=np.int64)
-    first = code[np.minimum(begin, len(code) - 1)].astype(np.int64) if len(words) else np.zeros(0, np.int64)
-    scripts = _SCRIPTS[np.searchsorted(_STARTS, first, side="right") - 1]
+    scripts = np.zeros(len(words), dtype=np.int64)
+    far = np.flatnonzero((code >= _STARTS[1]) & (owner >= 0))  # letters beyond Latin
+    if len(far):
+        at, own = np.unique(owner[far], return_inverse=True)
+        by = np.bincount(own * N_SCRIPTS + _SCRIPTS[np.searchsorted(_STARTS, code[far].astype(np.int64), side="right") - 1], minlength=len(at) * N_SCRIPTS).reshape(-1, N_SCRIPTS)
+        by[:, 0] += letters[at] - by.sum(1)
+        scripts[at] = by.argmax(1)
     return np.concatenate(buckets) if buckets else np.zeros(0, np.int64), np.concatenate(owners) if owners else np.zeros(0, np.int64), letters, scripts
 
 
@@ -92,11 +97,13 @@ class Model:
         out = np.zeros((n, k), dtype=np.float32)
         for j in range(k):
             out[:, j] = np.bincount(owners, weights=self.logs[buckets, j], minlength=n)
+        allowed = self.allowed[scripts]
+        some = allowed.any(1)
+        out[~allowed & some[:, None]] = -np.inf
         out -= out.max(1, keepdims=True) if k else 0
-        barred = ~self.allowed[scripts] & self.allowed[scripts].any(1, keepdims=True)
-        out[barred] -= 2 * SWITCH
-        out[~self.allowed[scripts].any(1) | (letters == 0)] = 0
-        return out, letters, np.where(self.allowed[scripts].any(1), 0, letters)
+        out[np.isneginf(out)] = -BARRED
+        out[~some | (letters == 0)] = 0
+        return out, letters, np.where(some, 0, letters)
 
     def lookup(self, texts: list[list[str]]) -> list[list[int]]:
         """Numbers of the texts' words; new words are scored together."""
@@ -119,7 +126,7 @@ class Model:
         found = self.lookup(texts)
         lengths = np.array([len(x) for x in found], dtype=np.int64)
         flat = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(lengths.sum()))
-        label = viterbi(self.scores[flat], lengths)
+        label = best_labels(self.scores[flat], lengths)
         n, k = len(texts), len(self.langs)
         doc = np.repeat(np.arange(n), lengths)
         by = np.bincount(doc * k + label, weights=self.letters[flat], minlength=n * k).reshape(n, k)
@@ -127,6 +134,32 @@ class Model:
         return label, lengths, by, (total > 0) & (2 * np.bincount(doc, weights=self.strange[flat], minlength=n) <= total)
 
 
+def best_labels(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """As viterbi, but texts in which no stretch gains more than half a switch over the best single label keep that label without a step a word: any path with other labels then loses."""
+    n, total = len(lengths), int(lengths.sum())
+    filled = np.flatnonzero(lengths)
+    if not total or scores.shape[1] < 2:
+        return np.zeros(total, dtype=np.int64)
+    doc = np.repeat(np.arange(n), lengths)
+    starts = (np.cumsum(lengths) - lengths)[filled]
+    best = np.zeros(n, dtype=np.int64)
+    best[filled] = np.add.reduceat(scores, starts, axis=0, dtype=np.float64).argmax(1)
+    own = scores[np.arange(total), best[doc]].astype(np.float64)
+    gain = np.zeros(n)
+    for j in range(scores.shape[1]):
+        run = np.cumsum(scores[:, j] - own)
+        before = np.concatenate([[0.0], run[:-1]])
+        step = 1 + 2 * float(np.abs(run).max())  # sinks a text's sums below those of the texts before it, so that the least so far is its own
+        least = np.minimum.accumulate(before - doc * step) + doc * step
+        gain[filled] = np.maximum(gain[filled], np.maximum.reduceat(run - least, starts))
+    hard = np.flatnonzero(gain > switch / 2 - 0.1)  # less what rounding may hide
+    label = best[doc]
+    if len(hard):
+        some = np.isin(doc, hard)
+        label[some] = viterbi(scores[some], lengths[hard], switch)
+    return label
+
+
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best label of each row for texts one after another; all texts advance together, one word a step."""
     total = int(lengths.sum())
@@ -222,11 +255,6 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     return Model(langs, sums[:, :BUCKETS].astype(float) if len(langs) <= 64 else sums[:, :BUCKETS], sums[:, BUCKETS:])
 
 
-@functools.lru_cache(maxsize=1)
-def _loaded(raw: bytes) -> Model:
-    return pickle.loads(raw)
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", with_spans: bool = False) -> DataFrame:
     """doc_id, held_out_, lang_pred, score for each row; with_spans adds spans (language, first word, end word)."""
     model.clear()
@@ -234,7 +262,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<lang:string,begin:bigint,end:bigint>>" * with_spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _loaded(shared.value)
+        own = pickle.loads(shared.value)  # a task's own: what it keeps goes with it
         k = len(own.langs)
         for batch in slices(batches, "text_", _bounds(k)[1]):
             texts = [words_of(t) for t in batch.column("text_").to_pylist()]
@@ -266,7 +294,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.0, text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _loaded(shared.value)
+        own = pickle.loads(shared.value)  # a task's own: what it keeps goes with it
         k = len(own.langs)
         for batch in slices(batches, text, _bounds(k)[1]):
             keep = np.zeros(len(batch), dtype=bool)

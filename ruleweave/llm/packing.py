@@ -1,10 +1,12 @@
 """Operator 5: best-fit packing of documents into sequences, by hierarchical residual packing.
 
 Each input partition cuts its documents into pieces and packs them best-fit, longest first. Nearly
-full bins are final. Underfull bins become items of the next round, in which a fraction of the
-groups packs them again, until one group is left or nothing merges. Only underfull bins move.
+full bins are final, and so is, after every round, each bin that the smallest underfull one no longer fits. Other underfull bins become items
+of the next round: they are dealt anew, by a hash of their number, to as few groups as hold at most about BLOCK of them each, and packed best-fit there. The
+last round is the one of a single group, or the first that joins less than one in STALE of its bins; no task ever gets all of a large table's bins. Only underfull bins move.
 
-A null or empty text is its end id alone. Rows with equal doc_id are documents of their own.
+A null or empty text is its end id alone. Rows with equal doc_id are documents of their own. Equal sizes keep the order of their rows. An
+empty table gives no rows. Very long texts are one slice each. Other columns of the input are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from ruleweave.llm.bpe import _Cache, byte_alphabet
 from ruleweave.llm.common import materialize, slices
 
 #: Items that a task packs at once; a bin with at most SLACK free places is final.
-BLOCK, SLACK, FAN_IN = 150_000, 2, 8
+BLOCK, SLACK, STALE = 150_000, 2, 50
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -49,6 +51,11 @@ class ByteBpe:
         self.first: _Cache = _Cache(self._ids)
         self.later: _Cache = _Cache(lambda part: self._ids(" " + part))
 
+    def forget(self) -> None:
+        for cache in (self.first, self.later):
+            cache.clear()
+            cache.old = {}
+
     def _ids(self, part: str) -> bytes:
         if part.isascii() or max(part) < "ɐ":
             ids = self.fast.encode_ordinary(part)
@@ -71,9 +78,9 @@ class ByteBpe:
         return b"".join(out)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def coder_for(path: str) -> ByteBpe:
-    """One coder for each Python worker."""
+    """One coder for each Python worker; what it keeps of texts goes with the task, see ByteBpe.forget."""
     return ByteBpe(path)
 
 
@@ -141,6 +148,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, text
                     yield from emit()
         if rows:
             yield from emit()
+        coder.forget()
 
     given = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_"))
     placed = materialize(given.mapInArrow(local, f"key_ {key_type}, piece bigint, start bigint, length bigint, ids_crc32 bigint, bin_ bigint, at_ bigint, fill_ bigint"), "pack-local")
@@ -152,24 +160,30 @@ def merge_residuals(placed: DataFrame, capacity: int) -> DataFrame:
     under = F.col("fill_") < capacity - SLACK
     # Bins as items, with the bin that now holds each and its place there. One row a bin: its piece at 0.
     items = materialize(placed.filter(under & (F.col("at_") == 0)).select("bin_", F.col("bin_").alias("root_"), F.lit(0).cast("long").alias("shift_"), F.col("fill_").alias("size_")), "pack-residual")
-    count = items.count()
-    groups = max(1, -(-count // BLOCK)) * FAN_IN if count > BLOCK else 1
 
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("root_", ignore_index=True)
         bins, offsets, _ = best_fit_decreasing(pdf["size_"].tolist(), capacity)
-        heads: dict[int, int] = {}
-        for b, r in zip(bins, pdf["root_"]):
-            heads.setdefault(b, r)
+        heads = {b: r for b, r, offset in zip(bins, pdf["root_"], offsets) if not offset}
         return pd.DataFrame({"root_": pdf["root_"], "new_": [heads[b] for b in bins], "add_": offsets}).astype("int64")
 
-    while count:
-        roots = items.groupBy("root_").agg(F.sum("size_").alias("size_"))
-        final = materialize(roots.filter(F.col("size_") < capacity - SLACK).withColumn("group_", F.pmod(F.xxhash64("root_", F.lit(groups)), F.lit(groups))).groupBy("group_").applyInPandas(again, "root_ bigint, new_ bigint, add_ bigint"), "pack-round")
-        items = materialize(items.join(final, "root_", "left").select("bin_", F.coalesce("new_", "root_").alias("root_"), (F.col("shift_") + F.coalesce("add_", F.lit(0))).alias("shift_"), "size_"), "pack-residual")
-        if groups == 1:
+    turn = 0
+    while True:
+        roots = items.groupBy("root_").agg(F.sum("size_").alias("size_")).filter(F.col("size_") < capacity - SLACK)
+        least = roots.agg(F.min("size_")).first()[0]
+        fit = roots.filter(F.col("size_") <= capacity - least) if least else roots
+        count = fit.count()
+        if count < 2:
+            break
+        groups = -(-count // BLOCK)
+        dealt = fit.withColumn("group_", F.pmod(F.xxhash64("root_", F.lit(turn)), F.lit(groups)))
+        joined = materialize(dealt.groupBy("group_").applyInPandas(again, "root_ bigint, new_ bigint, add_ bigint").filter("new_ <> root_"), "pack-round")
+        merged = joined.count()
+        if merged:
+            items = materialize(items.join(joined, "root_", "left").select("bin_", F.coalesce("new_", "root_").alias("root_"), (F.col("shift_") + F.coalesce("add_", F.lit(0))).alias("shift_"), "size_"), "pack-residual")
+        if groups == 1 or merged * STALE < count:
             break
-        groups = max(1, groups // FAN_IN)
+        turn += 1
     moved = items.filter("bin_ <> root_ or shift_ > 0").select(F.col("bin_"), "root_", "shift_")
     rest = placed.filter(under).join(moved, "bin_", "left")
     names = [c for c in placed.columns if c not in ("bin_", "at_", "fill_")]

@@ -1,12 +1,12 @@
 """Operator 9: shards by best-fit-decreasing bin packing of indivisible groups.
 
 Groups of equal texts are packed whole, largest first, each into the shard with the tightest
-remaining capacity that still takes it, found in a balanced order of capacities. Groups of one size
+remaining capacity that still takes it, found in an ordered list of capacities (as many as shards, where their number is given). Groups of one size
 are interchangeable, so the packing itself runs over classes of sizes (all sizes below 4096 exactly,
 larger ones by their 12 leading bits: at most 2048 classes for each doubling, whatever the input),
 and each class is dealt to shards in runs of ranks. Ranks and slots come from counts of salted parts.
 
-Null text has size 1. Repeated rows and ids are rows of their own. An empty table gives no rows.
+Null text has size 1. Repeated rows and ids are rows of their own. An empty table gives no rows. Groups of one size go by their digests. Very long texts are rows like others; other columns of the input are never read, whatever their names.
 A group larger than an equal share has its shard to itself; the rest shares the other shards evenly.
 """
 
@@ -101,7 +101,8 @@ def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None,
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = materialize(docs.select(F.col(key).alias("id_"), (F.octet_length(raw) + 1).cast("bigint").alias("size_"), F.crc32(raw).alias("crc_"), F.sha2(raw, 256).alias("group_")), "shard-rows")
     groups = materialize(rows.groupBy("group_").agg(F.sum("size_").alias("bytes_"), F.count(F.lit(1)).alias("n_")).withColumn("class_", size_class(F.col("bytes_"))), "shard-groups")
-    classes = [tuple(r) for r in groups.groupBy("class_").agg(F.count(F.lit(1)), F.sum("bytes_")).collect()]
+    # With a capacity, every group of a class counts as its largest, so that no shard exceeds it.
+    classes = [tuple(r) for r in groups.groupBy("class_").agg(F.count(F.lit(1)), F.max("bytes_") * F.count(F.lit(1)) if capacity else F.sum("bytes_")).collect()]
     runs = plan(classes, capacity)[0] if capacity else plan_equal(classes, shards)
     table = spark.createDataFrame(runs or [(0, 0, 0, 0)], "class_ bigint, lo_ bigint, hi_ bigint, shard int")
     dealt = _ranked(groups, "class_", ["group_"], salts)

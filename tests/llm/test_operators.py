@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ruleweave.llm import ann, bpe, exact, html, langid, licenses, minhash, packing, registry, sharding, toxicity
+from ruleweave.llm import ann, bpe, common, exact, html, langid, licenses, minhash, packing, registry, sharding, toxicity
 
 DATA = "/root/testdata/sf0.001"
 NAMES = ("id_", "text_", "key_", "n_", "set_", "sha_", "salt_", "root_", "kept", "shard", "score")
@@ -67,6 +67,7 @@ def plain_set(text):
 @pytest.mark.parametrize("percent", [85, 50])
 def test_near_duplicates(docs, rows, percent, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "GROUP", 20)
     given = [(i, plain_set(t)) for i, t in rows]
     parent = list(range(len(given)))
 
@@ -99,19 +100,46 @@ def test_hot_bucket_pairs_cross_blocks(spark):
     assert [x[0] for x in got] == [10]
 
 
-def test_near_duplicates_at_filter_position_0(spark):
-    # Ids whose hash is 0 modulo FILTER_BITS; the third is another one.
-    base = " ".join(f"w{i}" for i in range(60))
-    docs = docs_of(spark, [(194350146, base), (292653225, base + " end"), (7, base + " last")])
-    assert docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(minhash.FILTER_BITS)) == 0).count() == 2
-    assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == {7}
+def test_filters_at_their_ends(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 15)  # one part; places 1 and 32768 are its ends
+    ids = spark.range(300_000).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 15)).isin(0, (1 << 15) - 1))
+    assert ids.count() > 4
+    wanted = ids.filter("id < 40000")
+    keys = {r.id for r in wanted.collect()}
+    passing = common.Passing(wanted, F.xxhash64("id"))
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("h")).toPandas()
+    through = set(rows["id"][passing(rows["h"].to_numpy())])
+    assert keys and keys <= through and len(through) < 40
+    assert keys <= {r.id for r in common.may_match(spark.range(40_000), F.col("id"), wanted, F.col("id")).filter("maybe_").collect()}
+
+
+def test_recall_on_a_whole_table(spark):
+    """All links of sf0.01, by counting common shingles, against those found."""
+    docs = spark.read.parquet(DATA.replace("0.001", "0.01") + "/documents.parquet")
+    rows = [(r.doc_id, plain_set(r.text)) for r in docs.select("doc_id", "text").collect()]
+    parent, owners = {i: i for i, _ in rows}, defaultdict(list)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    size = {i: len(s) for i, s in rows}
+    for i, s in rows:
+        both = Counter(j for x in s for j in owners[x])
+        for j, n in both.items():
+            if 100 * n >= 85 * (size[i] + size[j] - n):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+        for x in s:
+            owners[x].append(i)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 85).collect()}
+    assert sum(got[i] == find(i) for i, _ in rows) >= 0.99 * len(rows)
 
 
 def test_components(spark):
-    chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("z1", "z2"), ("z2", "z1")]
-    links = spark.createDataFrame([(a.encode(), b.encode()) for a, b in chain], "a_ binary, b_ binary")
-    got = {bytes(r.node_).decode(): bytes(r.root_).decode() for r in minhash.components(links).collect()}
-    assert got == {f"n{i:02d}": "n00" for i in range(31)} | {"z1": "z1", "z2": "z1"}
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(71, 72), (72, 71)], "a_ bigint, b_ bigint")
+    assert {r.node_: r.root_ for r in minhash.components(links).collect()} == {i: 0 for i in range(31)} | {71: 71, 72: 71}
 
 
 @pytest.mark.parametrize("cell", [40, 100_000])
@@ -139,6 +167,38 @@ def test_nearest(spark, cell, monkeypatch):
     assert hits >= 0.9 * 10 * len(got)
 
 
+@pytest.mark.parametrize("groups, least", [(1, 0.2), (40, 0.9)])
+def test_points_are_left_out(groups, least):
+    """Shares of points that are never verified, and recall: without any structure, and in groups."""
+    rng = np.random.default_rng(5)
+    v = 3 * rng.standard_normal((groups, 64))[rng.integers(0, groups, 8_000)] + rng.standard_normal((8_000, 64))
+    matrix = ann.directions(64)
+    tree, hits = ann.Tree(v @ matrix), 0
+    reach = np.sqrt(ann.chi2_point(ann.CONFIDENCE))
+    for i in range(60):
+        got = tree.nearest(v[i], v[i] @ matrix, v, np.arange(8_000), i, 10, np.inf, reach)
+        true = np.sqrt(((v - v[i]) ** 2).sum(1))
+        true[i] = np.inf
+        hits += len({j for _, j in got} & set(np.argsort(true)[:10].tolist()))
+        assert all(d == true[j] for d, j in got)
+    assert hits >= 0.95 * 600 and tree.skipped >= least * (tree.skipped + tree.verified)
+
+
+def test_recall_on_a_whole_table_of_vectors(spark):
+    rows = spark.read.parquet(DATA.replace("0.001", "0.1") + "/embeddings.parquet")
+    v = {r.vec_id: np.array(r.embedding, dtype=float) for r in rows.collect() if r.embedding}
+    ids, m = np.array(list(v)), np.stack(list(v.values()))
+    got = defaultdict(set)
+    for r in ann.search(rows).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((m - v[q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits += len(found & set(ids[np.argsort(d)[:10]].tolist()))
+    assert len(got) == sum(i % 100 == 0 for i in v) and hits >= 0.9 * 10 * len(got)
+
+
 def test_few_vectors(spark):
     t = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in ann.search(t).collect()] == [(0, 1, 1, 2.0)]
@@ -146,23 +206,89 @@ def test_few_vectors(spark):
 
 
 def test_chi_square():
-    assert ann.chi2_cdf(np.array(ann.chi2_point(0.9))) == pytest.approx(0.9) and ann.chi2_point(0.95) == pytest.approx(15.507, abs=1e-3)
+    assert ann.chi2_cdf(np.array(ann.chi2_point(0.9))) == pytest.approx(0.9) and ann.chi2_point(0.95) == pytest.approx(36.415, abs=1e-3)
+
+
+def passages_of(r, n, vocabulary):
+    """Passages that share frequent terms, as row, term, weight and as a matrix."""
+    made = np.zeros((n, vocabulary))
+    for i in range(n):
+        for w in r.choices(range(vocabulary), [1 / (v + 1) for v in range(vocabulary)], k=25):
+            made[i, w] += r.random() + 0.1
+    made /= np.sqrt((made**2).sum(1))[:, None]
+    row, term = np.nonzero(made)
+    return row, term, made[row, term], made
 
 
-def test_block_max_is_exact():
+@pytest.mark.parametrize("common_terms", [0, 8, 500])
+def test_block_max_is_exact(common_terms):
     r = random.Random(2)
-    made = []
-    for i in range(600):
-        v = {w: r.random() + 0.1 for w in r.sample(range(40), r.randrange(1, 6))}
-        n = sum(x * x for x in v.values()) ** 0.5
-        made.append((i, r.randrange(2), 1.0, {w: x / n for w, x in v.items()}))
-    index = toxicity.Index(made)
-    for _ in range(50):
-        q = {w: r.random() for w in r.sample(range(45), 3)}
-        at, cos = index.nearest(q, 10)
-        want = sorted(((sum(x * v.get(w, 0) for w, x in q.items()), -i) for i, _, _, v in made), reverse=True)[:10]
-        want = [(c, -i) for c, i in want if c > 0]
-        assert [int(index.ids[a]) for a in at] == [i for _, i in want] and list(cos) == pytest.approx([c for c, _ in want])
+    row, term, x, docs = passages_of(r, 900, 300)
+    index = toxicity.Index(row, term, x, 900, common_terms)
+    row, term, x, queries = passages_of(r, 40, 300)
+    barred = (np.array([0, 1]), np.array([5, 7]))
+    near, cos = index.nearest(row, term, x, 40, 10, barred)
+    want = queries @ docs.T
+    want[barred] = 0
+    for i in range(40):
+        assert cos[i] == pytest.approx(np.sort(want[i])[::-1][:10], abs=2e-6)
+        assert want[i][near[i]] == pytest.approx(cos[i], abs=2e-6)
+
+
+def test_blocks_stay_closed():
+    """Of passages in groups of their own words, only blocks of the query's group are opened."""
+    row, term, x = [], [], []
+    for i in range(1_280):
+        for w in range(8):
+            row.append(i), term.append(100 * (i % 10) + (w * (1 + i % 7)) % 90 if w else 100 * (i % 10)), x.append(1.0)
+    row, term, x = np.array(row), np.array(term), np.array(x) / np.sqrt(8)
+    index = toxicity.Index(row, term, x, 1_280, 60)
+    index.nearest(row[:80], term[:80], x[:80], 10, 5)
+    assert index.opened < 0.5 * index.met
+
+
+def test_whole_texts_against_all_examples(spark):
+    """Every passage of every text meets all passages of all examples: votes and evidence as by brute force."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    texts = [r.text for r in docs.select("text").collect()]
+    known = toxicity.Terms()
+    found = toxicity.terms_of(texts, known)
+    assert sum(map(len, found)) >= sum(len((t or "").split()) for t in texts) * 0.9
+    df = Counter(t for f in found for t in set(f.tolist()))
+    for t in list(df)[:500]:
+        assert model.idf[t] == pytest.approx(np.log(1 + len(texts) / (1 + df[t])))
+    scores, proof = model.score(found, 5)
+    assert all(p or not len(f) for p, f in zip(proof, found)) and ((scores >= 0) & (scores <= 1)).all()
+    matrix = np.zeros((model.rows, toxicity.TERMS), dtype=np.float32)
+    examples = {r.doc_id: r.text for r in docs.filter(F.col("doc_id").isin(model.ids)).collect()}
+    row = 0
+    for i in model.ids:
+        of, r, term, count = toxicity.passages(toxicity.terms_of([examples[i]], known))
+        matrix[row + r, term] = toxicity.weigh(r, term, count, len(of), model.idf)
+        row += len(of)
+    assert row == model.rows
+    for f in found[:40]:
+        of, r, term, count = toxicity.passages([f])
+        if len(of):
+            own = np.zeros((len(of), toxicity.TERMS), dtype=np.float32)
+            own[r, term] = toxicity.weigh(r, term, count, len(of), model.idf)
+            want = np.sort(own @ matrix.T, axis=1)[:, ::-1][:, : toxicity.NEIGHBOURS]
+            _, cos = model.index.nearest(r, term, own[r, term], len(of), toxicity.NEIGHBOURS)
+            assert cos == pytest.approx(want, abs=3e-6)
+
+
+def test_scores_are_calibrated(spark):
+    """On held-out rows of sf0.1: mean score and rate of toxic ones agree in low, middle and high scores."""
+    d = DATA.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").select("score", "toxic", "predicted").toPandas()
+    toxic, clean = got[got.toxic == 1], got[got.toxic == 0]
+    assert (toxic.predicted == 1).mean() >= 0.85 and (clean.predicted == 1).mean() <= 0.01
+    for low, high in ((0, 0.2), (0.2, 0.8), (0.8, 1.01)):
+        part = got[(got.score >= low) & (got.score < high)]
+        assert abs(part.score.mean() - part.toxic.mean()) <= 0.05 + 1 / np.sqrt(len(part))
+    assert ((got.score - got.toxic) ** 2).mean() < 0.03
 
 
 def test_toxicity(spark):
@@ -200,7 +326,7 @@ def test_toxicity_at_any_ratio(spark, monkeypatch, every, caps):
     labels = spark.createDataFrame([(i, 1, int(i % every == 0)) for i, _ in rows], "doc_id bigint, quality int, toxic int")
     docs = docs_of(spark, rows)
     assert all(x.predicted == (x.doc_id % every == 0) for x in toxicity.toxicity(docs, labels).collect())
-    kept = toxicity.keep_clean(docs, toxicity.fit(docs, labels)[0])
+    kept = toxicity.keep_clean(docs, toxicity.fit(docs, labels))
     assert {x.doc_id for x in kept.collect()} == {i for i, _ in rows if i % every}
 
 
@@ -254,6 +380,35 @@ def test_packing(docs, rows, monkeypatch):
     assert len(bins) <= 1.02 * total / 64 + 8
 
 
+def test_packing_never_gathers(spark, monkeypatch):
+    """Documents of which no two fit together: no round is begun for them, and no group holds many bins."""
+    monkeypatch.setattr(packing, "BLOCK", 20)
+    seen = spark.sparkContext.accumulator(0)
+    inner = packing.best_fit_decreasing
+
+    def counted(sizes, capacity):
+        if len(sizes) > 60:
+            seen.add(1)
+        return inner(sizes, capacity)
+
+    monkeypatch.setattr(packing, "best_fit_decreasing", counted)
+    placed = spark.range(600).select(F.col("id").alias("bin_"), F.lit(0).cast("bigint").alias("at_"), F.lit(600).cast("bigint").alias("fill_"), F.col("id").alias("k"))
+    out = packing.merge_residuals(placed, 1024).collect()
+    assert len({r.bin_ for r in out}) == 600 and seen.value == 0
+    mixed = spark.range(600).select(F.col("id").alias("bin_"), F.lit(0).cast("bigint").alias("at_"), (F.col("id") % 7 * 100 + 50).alias("fill_"), F.col("id").alias("k"))
+    out = packing.merge_residuals(mixed, 1024).collect()
+    fills = defaultdict(list)
+    for r in out:
+        fills[r.bin_].append((r.at_, r.k % 7 * 100 + 50))
+    for own in fills.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    assert len(fills) <= 1.1 * sum(i % 7 * 100 + 50 for i in range(600)) / 1024 and seen.value == 0
+
+
 def test_best_fit():
     bins, offsets, fills = packing.best_fit_decreasing([5, 5, 3, 3, 2, 2], 10)
     assert fills == [10, 10] and sorted(zip(bins, offsets)) == [(0, 0), (0, 5), (1, 0), (1, 3), (1, 6), (1, 8)]
@@ -270,6 +425,24 @@ def test_exact(docs, rows):
     assert Counter(got) == Counter(want)
 
 
+def test_exact_with_an_empty_snapshot(spark, monkeypatch):
+    """A first batch is spread over filters as a snapshot of its size would be; repeated rows are written in parts."""
+    monkeypatch.setattr(exact, "DIGESTS_PER_FILTER", 50)
+    monkeypatch.setattr(exact, "REPEATS", 7)
+    used = []
+    inner = exact.screen
+    monkeypatch.setattr(exact, "screen", lambda batch, filters, buckets: used.append(buckets) or inner(batch, filters, buckets))
+    rows = [(i, f"text {i % 500}") for i in range(1_000)] + [(5, "text 5")] * 40
+    got = Counter(map(tuple, exact.exact_groups(docs_of(spark, rows), F.lit(False)).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert used == [10]
+    size = Counter(t for _, t in rows)
+    want = Counter((i, i % 500, size[t], False) for i, t in rows)
+    for i in range(500):
+        want[(i, i, size[f"text {i}"], False)] -= 1
+        want[(i, i, size[f"text {i}"], True)] += 1
+    assert got == +want
+
+
 def test_binary_fuse():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 50, 5_000, 100_000):
@@ -299,6 +472,31 @@ def test_viterbi():
         at += n
 
 
+def test_single_labels_need_no_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    lengths = np.array([4, 0, 3_000, 60])
+    scores = rng.normal(0, 0.1, (lengths.sum(), 3)).astype(np.float32)
+    scores[:, 1] -= 1
+    scores[3_010:3_030, 1] += 40
+    want = langid.viterbi(scores, lengths)
+    seen = []
+    inner = langid.viterbi
+    monkeypatch.setattr(langid, "viterbi", lambda s, n, w: seen.append(n.tolist()) or inner(s, n, w))
+    got = langid.best_labels(scores, lengths)
+    assert (got[3_004:] == want[3_004:]).all() and set(got[3_010:3_030]) == {1} and seen == [[60]]
+    assert scores[np.arange(4, 3_004), got[4:3_004]].sum() >= scores[np.arange(4, 3_004), want[4:3_004]].sum() - 1e-3
+
+
+def test_scripts_bar_languages():
+    counts = np.ones((2, langid.BUCKETS))
+    scripts = np.zeros((2, langid.N_SCRIPTS))
+    scripts[0, 0], scripts[1, 2] = 100, 100  # one Latin, one Cyrillic
+    model = langid.Model(["la", "ru"], counts, scripts)
+    scores, letters, strange = model.score(["word", "слово", "wслово", "中文", "12"])
+    assert (scores[0] == [0, -langid.BARRED]).all() and (scores[1] == [-langid.BARRED, 0]).all() and (scores[2] == scores[1]).all()
+    assert (scores[3:] == 0).all() and letters.tolist() == [4, 5, 6, 2, 0] and strange.tolist() == [0, 0, 0, 2, 0]
+
+
 def test_language(spark):
     r = random.Random(3)
     kinds = {"aa": ["the", "thing", "ation", "ough", "ly"], "bb": ["sch", "ung", "keit", "über", "ein"], "cc": ["привет", "мир", "слово", "ние"]}
@@ -351,6 +549,39 @@ def test_licences(spark):
     assert licenses.scan(t.filter("false")).count() == 0
 
 
+def wrapped(text):
+    lines, line = [], ""
+    for w in text.split():
+        line = f"{line} {w}".strip()
+        if len(line) > 60:
+            lines.append(line)
+            line = ""
+    return "\n".join([*lines, line])
+
+
+def test_licence_files(spark):
+    """Licence files as wholes; the files below inherit."""
+    whole = dict(reversed(licenses.WHOLE))
+    filler = "\n\n".join(f"{i}. Each contributor grants you terms under clause {i} of these conditions, see the GNU Affero General Public License." for i in range(9))
+    texts = {
+        "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n" + filler,
+        "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + filler,
+        "BSD-2-Clause": "BSD 2-Clause License\n\nCopyright (c) 2020, Someone\n\n" + wrapped(whole["BSD-2-Clause"].removeprefix("Copyright All rights reserved. ")),
+        "BSD-3-Clause": "Copyright (c) 2020, Someone\n\n" + wrapped(whole["BSD-3-Clause"].removeprefix("Copyright All rights reserved. ")),
+        "MIT": wrapped(whole["MIT"]), "ISC": wrapped(whole["ISC"]),
+    }
+    rows = [x for i, (name, text) in enumerate(texts.items()) for x in ((10 * i, f"{name}/LICENSE", text), (10 * i + 1, f"{name}/src/a.py", "code"))]
+    rows.append((900, "long/LICENSE", "word " * 200_000))
+    got = {r.doc_id: (r.license, r.via) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert got == {900: (None, "none")} | {k: v for i, name in enumerate(texts) for k, v in ((10 * i, (name, "header")), (10 * i + 1, (name, "directory")))}
+
+
+def test_licence_ties(spark):
+    rows = [(1, "a.py", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: AGPL-3.0"), (3, "b/LICENSE", "SPDX-License-Identifier: MIT"), (2, "b/COPYING", "SPDX-License-Identifier: MIT"), (4, "b/c.py", None)]
+    got = {r.doc_id: (r.license, r.origin_id) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert got[1] == ("AGPL-3.0", 1) and got[4] == ("MIT", 2)
+
+
 def test_shards(docs, rows):
     got = sharding.shard(docs, 4).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
@@ -375,6 +606,35 @@ def test_shard_sizes(spark):
     assert max(x.shard for x in sharding.shard(docs_of(spark, rows), None, 100_000).collect()) + 1 <= sum(sizes.values()) // 100_000 + 2
 
 
+def test_plan_is_best_fit_decreasing():
+    """Runs of classes against one size at a time."""
+    r = random.Random(12)
+    sizes = [r.choice([3, 5, 5, 8, 13, 21, 34]) for _ in range(300)]
+    free, used = [], 0
+    for n in sorted(sizes, reverse=True):
+        fit = [f for f in free if f >= n]
+        if fit:
+            free.remove(min(fit))
+            free.append(min(fit) - n)
+        else:
+            free.append(50 - n)
+    runs, used = sharding.plan([(n, c, n * c) for n, c in Counter(sizes).items()], 50)
+    fill, met = Counter(), Counter()
+    for n, a, b, shard in runs:
+        fill[shard] += n * (b - a)
+        met[n] += b - a
+    assert used == len(free) and met == Counter(sizes) and max(fill.values()) <= 50
+    assert sorted(50 - x for x in fill.values()) == sorted(free)
+
+
+def test_capacity_holds_for_large_sizes(spark):
+    rows = [(i, "x" * (4_100 + 37 * i)) for i in range(60)]
+    fills = Counter()
+    for x in sharding.shard(docs_of(spark, rows), None, 20_000).collect():
+        fills[x.shard] += x.size
+    assert max(fills.values()) <= 20_000
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("<html></html>", ""), ("plain words only here", "plain words only here"),
     ("<body><nav><a href='/'>Home</a></nav><article><h1>T &amp; U</h1><p>One&nbsp; <b>t</b>wo\n x<p>Three<br>four</article><footer>f</footer>", "T & U One two x Three four"),
@@ -393,6 +653,13 @@ LONG = "Long main text of the page. " * 10
 @pytest.mark.parametrize("page, text", [
     (f"<div class='content'><p>{LONG}</p></div><article class='comment'><p>no</p></article><article id='comment-7' class='odd'>no</article>", LONG.strip()),
     (f"<div class='content'><p>{LONG}</p></div><aside><article><p>no</p></article></aside><div class='sidebar'><main>no</main></div>", LONG.strip()),
+    ("<div><article class=\"comment-body\"><p>X</p></article></div><article><p>Body</p></article>", "Body"),
+    ("<article class='related'><p>X</p></article><article><p>Body</p></article>", "Body"),
+    ("<article><div class='form-factor'>one</div><div class='notice-board'>two</div><div class='search-results'>three</div></article>", "one two three"),
+    ("<article><object><p>Body</p><iframe><p>More</p></article>", "Body More"),
+    ("<article><p>Body</p><script>no", "Body"),
+    (f"<article><p>{LONG}</p><ul><li><a>no</a><li><a>no</a><li><a>no</a><li><a>no</a></ul><p>End <a>of it</a></p></article>", f"{LONG}End of it"),
+    (f"<p>{LONG}</p><ul><li><a>no</a><li><a>no</a><li><a>no</a></ul>", LONG.strip()),
     (f"<article class='post has-sidebar'><p>{LONG}</p><article class='comment'>no</article><p>End</p></article>", f"{LONG}End"),
     (f"<div class='content'><h1>Title</h1><ul class='share'><li>no<li>no<li>no</ul><p>{LONG}</p><div class='ad'><p>no</p><p>no</p><p>no</p></div><p>short</p></div><div><p>Far</p></div>", f"Title {LONG}short"),
 ])
@@ -400,6 +667,27 @@ def test_pages_without_article(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_line_blocks(seed):
+    """Surges and dives by their definition: a line is text if a surge comes before it, or at it, with no dive between, or if its container has a surge's longest line."""
+    r = random.Random(seed)
+    lengths = [r.choice([0, 0, 0, 5, 30, 90, 200]) for _ in range(25)]
+    boxes = [i // 5 for i in range(25)]
+    sums = [sum(lengths[i : i + html.WINDOW]) for i in range(25)]
+    least = max(1, min(html.SURGE, max(sums) // 2))
+    surges = [i for i in range(25) if lengths[i] and sums[i] >= least]
+    dense = {boxes[max(range(i, min(25, i + html.WINDOW)), key=lengths.__getitem__)] for i in surges}
+    want = [any(s <= i and all(sums[s : i + 1]) for s in surges) or bool(lengths[i]) and boxes[i] in dense for i in range(25)]
+    assert html.text_lines(lengths, boxes) == want
+
+
+def test_odd_pages():
+    assert html.main_text("<div>" * 20_000 + "deep") == "deep"
+    assert len(html.main_text("<article>" + "<p>word word</p>" * 100_000)) == 1_000_000 - 1
+    assert html.main_text("<article><object>" * 3_000 + "x").endswith("x")
+    html.main_text("<a b='" * 3_000 + "<!--" * 3_000)
+
+
 def test_page_rows(spark):
     t = spark.createDataFrame([(1, "u", "<article>a</article>"), (1, "u", "<article>a</article>"), (2, None, None)], "page_id bigint, url string, html string").withColumns({"text": F.lit("x"), "html_": F.lit("y")})
     assert Counter(map(tuple, html.extract(t).collect())) == Counter([(1, "u", "a", 1)] * 2 + [(2, None, "", 0)])
