@@ -22,8 +22,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic."""
-    model, _ = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.keep_clean(docs, model)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def _chosen(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
