@@ -40,7 +40,7 @@ from ruleweave.llm.common import crc_of_id, discard, materialize, slices
 MAX_TOXIC, MAX_CLEAN, MAX_PASSAGES = 400, 800, 6_000
 #: Letters of a term, letters from which a word gives several, numbers of terms, terms of a passage, terms with lists by block.
 STEM, LONG, TERMS, PASSAGE, COMMON = 4, 24, 1 << 18, 128, 512
-#: Neighbours, passages of a block, axes by which passages are put in order, passages searched together, stretches of text that a task keeps.
+#: Neighbours in an index of MAX_PASSAGES (by the square root of its size in a smaller one), passages of a block, axes by which passages are put in order, passages searched together, stretches of text that a task keeps.
 NEIGHBOURS, BLOCK, AXES, TOGETHER, KNOWN = 100, 64, 6, 128, 400_000
 _STRIP = re.compile(r"[\W_]+")
 _SLACK = 1e-5
@@ -97,9 +97,9 @@ class Index:
         # Rows alike lie together, so that blocks differ: by the sides of the main axes of their common terms.
         plain = np.zeros((rows, len(self.common)), dtype=np.float32)
         plain[row[of >= 0], of[of >= 0]] = x[of >= 0]
-        axes = np.linalg.eigh(np.cov(plain, rowvar=False).reshape(len(self.common), -1))[1][:, ::-1][:, :AXES] if rows > 1 else np.zeros((len(self.common), 1))
+        axes = np.linalg.eigh(np.cov(plain, rowvar=False).reshape(len(self.common), -1))[1][:, ::-1][:, :AXES] if rows > 1 and len(self.common) else np.zeros((len(self.common), 1))
         side = (plain - plain.mean(0)) @ axes
-        self.order = np.lexsort([*(side[:, k] > 0 for k in range(side.shape[1] - 1, -1, -1))]) if rows > 1 else np.arange(rows)
+        self.order = np.lexsort([*(side[:, k] > 0 for k in range(side.shape[1] - 1, -1, -1))])
         place = np.empty(rows, dtype=np.int64)
         place[self.order] = np.arange(rows)
         row, self.place = place[row], place
@@ -176,6 +176,7 @@ class Model:
         self.curve = None
         if not self.rows or not 0 < self.prior < 1:
             return
+        self.k = max(5, min(NEIGHBOURS, int(NEIGHBOURS * np.sqrt(self.rows / MAX_PASSAGES))))
         x = weigh(row, term, count, self.rows, idf)
         self.index = Index(row, term, x, self.rows)
         cut = np.searchsorted(row, np.arange(0, self.rows + TOGETHER, TOGETHER))
@@ -183,7 +184,7 @@ class Model:
         for i, (a, b) in enumerate(zip(cut, cut[1:])):
             low, n = i * TOGETHER, min(self.rows, (i + 1) * TOGETHER) - i * TOGETHER
             same = np.flatnonzero(owner[low : low + n, None] == owner[None, :])
-            votes.append(self._votes(*self.index.nearest(row[a:b] - low, term[a:b], x[a:b], n, NEIGHBOURS, (same // self.rows, same % self.rows))))
+            votes.append(self._votes(*self.index.nearest(row[a:b] - low, term[a:b], x[a:b], n, self.k, (same // self.rows, same % self.rows))))
         vote, parts = np.zeros(len(docs)), np.bincount(owner, minlength=len(docs))
         np.maximum.at(vote, owner, np.concatenate(votes))
         seen = parts > 0
@@ -212,7 +213,7 @@ class Model:
         for low in range(0, len(of), TOGETHER):
             high = min(len(of), low + TOGETHER)
             a, b = np.searchsorted(row, [low, high])
-            near, cos = self.index.nearest(row[a:b] - low, term[a:b], x[a:b], high - low, NEIGHBOURS)
+            near, cos = self.index.nearest(row[a:b] - low, term[a:b], x[a:b], high - low, self.k)
             own = self._votes(near, cos)
             for i, v in zip(range(low, high), own):
                 if best[of[i]] < 0 or v > vote[of[i]]:
