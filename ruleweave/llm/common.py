@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts that Python holds at once come in slices of about so many characters (one longer text is one slice).
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
+_libc = ctypes.CDLL(None)
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -75,8 +78,17 @@ def crc_of_id(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
+def release() -> None:
+    """Give free memory of this process back to the system, where that can be asked for."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about so many bytes of the text column."""
+    """Cut record batches so that each holds about so many bytes of the text column. What earlier tasks of the worker left free goes back to the system first."""
+    release()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         begin = total = 0

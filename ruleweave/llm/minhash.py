@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import Passing, discard, materialize, may_match, salted, slices
+from ruleweave.llm.common import Passing, discard, materialize, may_match, release, salted, slices
 
 WORDS, PERMUTATIONS, BAND, BLOCK, ROUNDS = 5, 64, 5, 1_000, 4
 #: Members of small buckets that one group of a task takes, about.
 GROUP = 10_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_240_607)
 _A = (_rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -136,6 +136,7 @@ def band_rows(rows: DataFrame, passing: Passing | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = 2 * PERMUTATIONS // BAND
+        release()
         for batch in batches:
             node, first = np.unique(batch.column("node_").to_numpy(), return_index=True)
             sig = np.frombuffer(b"".join(batch.column("signature_").take(pa.array(first)).to_pylist()), dtype=np.uint32).reshape(-1, 2 * PERMUTATIONS).astype(np.uint64)
@@ -175,6 +176,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a_, b_, a table) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x_"), batch.column("y_")):

@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from ruleweave.llm.common import crc_of_id, discard, materialize, slices
 
 #: The bounded sample: examples of each label, and their passages, about.
-MAX_TOXIC, MAX_CLEAN, MAX_PASSAGES = 400, 800, 6_000
+MAX_TOXIC, MAX_CLEAN, MAX_PASSAGES = 300, 600, 4_500
 #: Letters of a term, letters from which a word gives several, numbers of terms, terms of a passage, terms with lists by block.
 STEM, LONG, TERMS, PASSAGE, COMMON = 4, 24, 1 << 18, 128, 512
 #: Neighbours in an index of MAX_PASSAGES (by the square root of its size in a smaller one), passages of a block, axes by which passages are put in order, passages searched together, stretches of text that a task keeps.
-NEIGHBOURS, BLOCK, AXES, TOGETHER, KNOWN = 100, 64, 6, 128, 400_000
+NEIGHBOURS, BLOCK, AXES, TOGETHER, KNOWN = 100, 64, 6, 128, 150_000
 _STRIP = re.compile(r"[\W_]+")
 _SLACK = 1e-5
 
