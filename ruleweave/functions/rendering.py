@@ -51,8 +51,10 @@ def render_number(x: Column) -> Column:
     tiny = F.concat(sign, F.lit("0.000"), F.regexp_replace(mantissa, r"[-.]", ""))  # exponent -4
     plain = F.regexp_replace(s, r"\.0$", "")
     million = F.concat(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^(-?\d)(\d{6})\.", "$1.$2"), r"0+$", ""), r"\.$", ""), F.lit("e+06"))
+    middle = (F.abs(x) >= 1e-3) & (F.abs(x) < 1e6)  # most numbers: whole ones as integers, others as they are
     return (
-        F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("+Inf")).when(x == float("-inf"), F.lit("-Inf"))
+        F.when(middle, F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(s))
+        .when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("+Inf")).when(x == float("-inf"), F.lit("-Inf"))
         .when(exponent.isNotNull() & (exponent == -4), tiny).when(exponent.isNotNull(), scientific)
         .when(F.abs(x) >= 1e6, million).otherwise(plain)
     )

@@ -95,6 +95,24 @@ def in_order(events: DataFrame, keys: list[AggregateKey]) -> DataFrame:
     return out
 
 
+def _with_kill(given: DataFrame, back: int) -> DataFrame:
+    """kill_: the first later arrival, of a member's behavior, by which an event's minute is forgotten, because it is more than back seconds younger.
+
+    As long as no earlier arrival was that young, it is the first that makes the running maximum pass the event's minute plus back: found among
+    maxima and limits in one order, without a join. Only events that arrived when the maximum was already past it are joined with later ones.
+    """
+    own = Window.partitionBy("m2_", "x2_")
+    known = given.withColumn("limit_", F.col("b2_") + back).withColumn("top_", F.max("b2_").over(own.orderBy("s2_").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    marks = known.groupBy("m2_", "x2_", F.col("top_").alias("at_")).agg(F.min("s2_").alias("mark_"))
+    asked = known.filter("top_ <= limit_").withColumn("at_", F.col("limit_"))
+    least = F.last("mark_", ignorenulls=True).over(own.orderBy(F.desc("at_"), F.col("mark_").isNotNull()).rowsBetween(Window.unboundedPreceding, -1))
+    usual = marks.unionByName(asked, allowMissingColumns=True).withColumn("kill_", least).filter("s2_ is not null").select(*given.columns, "kill_")
+    stray = known.filter("top_ > limit_").select(*given.columns, "limit_")
+    later = given.select(F.col("m2_").alias("m3_"), F.col("x2_").alias("x3_"), F.col("b2_").alias("b3_"), F.col("s2_").alias("s3_"))
+    met = stray.join(later, (F.col("m2_") == F.col("m3_")) & (F.col("x2_") == F.col("x3_")) & (F.col("s3_") > F.col("s2_")) & (F.col("b3_") > F.col("limit_")), "left")
+    return usual.unionByName(met.groupBy(*given.columns).agg(F.min("s3_").alias("kill_")))
+
+
 def disordered(events: DataFrame, keys: list[AggregateKey], as_coded: bool = True) -> DataFrame:
     """The same for any arrival order. as_coded: minutes are forgotten as soon as a later event of the behavior arrives that is more than the longest window younger, whatever the lateness."""
     names = columns_for(keys)
@@ -103,12 +121,10 @@ def disordered(events: DataFrame, keys: list[AggregateKey], as_coded: bool = Tru
     fields = sorted({k.parts[2] for k in keys if k.parts[2] and f"num_{k.parts[2]}" in events.columns})
     given = events.filter(F.col("fresh_") & F.col("behavior").isin(behaviors)).select(F.col("member_id").alias("m2_"), F.col("behavior").alias("x2_"), F.col("b_").alias("b2_"), F.col("seq").alias("s2_"), *[F.col(f"num_{f}").alias(f"v2_{f}") for f in fields])
     if as_coded:
-        later = given.select(F.col("m2_").alias("m3_"), F.col("x2_").alias("x3_"), F.col("b2_").alias("b3_"), F.col("s2_").alias("s3_"))
-        kill = given.join(later, (F.col("m2_") == F.col("m3_")) & (F.col("x2_") == F.col("x3_")) & (F.col("s3_") > F.col("s2_")) & (F.col("b3_") - back > F.col("b2_"))).groupBy("m2_", "s2_").agg(F.min("s3_").alias("kill_"))
-        given = given.join(kill, ["m2_", "s2_"], "left")
+        given = _with_kill(given, back)
     else:
         given = given.withColumn("kill_", F.lit(None).cast("bigint"))
-    size = STRETCH * back
+    size = back  # short stretches: each event meets those of two at most
     bounded = all(k.seconds for k in keys)
     probe = events.select("seq", F.col("member_id").alias("m1_"), F.col("b_").alias("b1_"), (F.floor(F.col("b_") / size) if bounded else F.lit(0)).alias("k1_"))
     at = F.floor(F.col("b2_") / size)

@@ -33,24 +33,39 @@ def scope_fields(events: DataFrame, raw_only: bool = False) -> dict[str, Operand
     return found if raw_only else found | {n: text_field(F.col(n)) for n in ("behavior", "member_id")}
 
 
+#: Stretches of arrival order, or of time, into which a shard's rows are cut for running values.
+STRETCHES = 1024
+
+
+def stretch_of(rows: DataFrame, column: str) -> Column:
+    """The number of a row's stretch: equal parts of a column's range, in its order. Takes one pass over the column."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    width = 1 if low is None else (high - low) // STRETCHES + 1
+    return F.floor((F.col(column) - F.lit(low or 0)) / F.lit(width)).cast("bigint")
+
+
 def with_watermark(events: DataFrame, lateness: float = LATENESS, shards: int = 1) -> DataFrame:
     """shard_, wm_before_, late_ and wm_ (after the event), in microseconds, of timed events.
 
     The watermark follows each shard's arrival order and starts at 1970. Late events never raise it: they are older than the maximum.
+    Shards are cut into stretches of arrival order: the greatest time of those before a stretch, one row each, is carried into it, so no task sorts a whole shard.
     """
-    by = Window.partitionBy("shard_").orderBy("seq")
     seen = F.col("t_") - F.lit(int(lateness * SECOND))
-    out = events.withColumn("shard_", shard_of(F.col("member_id"), shards))
-    out = out.withColumn("wm_before_", F.greatest(F.lit(0), F.coalesce(F.max(seen).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    cut = events.withColumn("shard_", shard_of(F.col("member_id"), shards)).withColumn("stretch_", stretch_of(events, "seq"))
+    tops = cut.groupBy("shard_", "stretch_").agg(F.max(seen).alias("top_"))
+    before = tops.select("shard_", "stretch_", F.max("top_").over(Window.partitionBy("shard_").orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1)).alias("carried_"))
+    out = cut.join(F.broadcast(before), ["shard_", "stretch_"])  # at most 128 shards of STRETCHES rows
+    within = F.max(seen).over(Window.partitionBy("shard_", "stretch_").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("wm_before_", F.greatest(F.lit(0), F.coalesce(within, F.lit(0)), F.coalesce("carried_", F.lit(0)))).drop("stretch_", "carried_")
     return out.withColumn("late_", F.col("t_") < F.col("wm_before_")).withColumn("wm_", F.greatest(F.col("wm_before_"), seen))
 
 
+def arrives_in_order(timed: DataFrame) -> bool:
+    """Whether no event is older than one that arrived before it."""
+    return not with_watermark(timed.filter("t_ >= 0"), 0).filter("late_").take(1) and not timed.filter("t_ < 0").take(1)
+
+
 def with_fresh(events: DataFrame) -> DataFrame:
     """fresh_: the first arrival of an event id for its member, behavior and minute."""
     by = Window.partitionBy("member_id", "behavior", "b_", "event_id").orderBy("seq")
     return events.withColumn("fresh_", F.row_number().over(by) == 1)
-
-
-def arrival(key: Column, shift: int, salt: int, modulus: int) -> Column:
-    """A deterministic delay in minutes, to disorder a stream for tests."""
-    return F.pmod(key * salt, F.lit(modulus)) + shift

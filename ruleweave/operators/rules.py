@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ruleweave.model import AggregateKey, DefinitionError, Rule, aggregate_keys, check_compiles, unique_keys, validate_node
 from ruleweave.operators.aggregates import columns_for, with_aggregates
-from ruleweave.operators.events import LATENESS, scope_fields, with_time, with_watermark
+from ruleweave.operators.events import LATENESS, arrives_in_order, scope_fields, with_time, with_watermark
 from ruleweave.plans.compiler import Scope, compile_node, fires
 
 
@@ -46,13 +46,15 @@ def evaluate(events: DataFrame, ruleset: RuleSet) -> DataFrame:
     return events.select("seq", "event_id", "member_id", F.explode(F.array_compact(F.array(*fired))).alias("r_")).select("seq", "event_id", "member_id", "r_.*")
 
 
-def rule_matches(events: DataFrame, rules: list[Rule] | RuleSet, order: str = "in_order", lateness: float = LATENESS, shards: int = 1, semantics: str = "as_coded") -> DataFrame:
+def rule_matches(events: DataFrame, rules: list[Rule] | RuleSet, order: str = "auto", lateness: float = LATENESS, shards: int = 1, semantics: str = "as_coded") -> DataFrame:
     """seq, event_id, member_id, rule_id, rule_name of an event frame. Late events feed aggregates but aren't evaluated.
 
-    In order no event can be late, so the shards' watermarks, and their shuffle, are left out.
+    In order no event can be late, so the shards' watermarks, and their shuffle, are left out. order: "in_order" where that is known, "disordered", or "auto", which looks first.
     """
     ruleset = rules if isinstance(rules, RuleSet) else compile_ruleset(rules)
     timed = with_time(events)
+    if order == "auto":
+        order = "in_order" if arrives_in_order(timed) else "disordered"
     if order != "in_order":
         timed = with_watermark(timed, lateness, shards)
     found = with_aggregates(timed, ruleset.keys, order, semantics)

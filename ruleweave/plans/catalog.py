@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweave.functions.partitioning import key_group, shard_of
-from ruleweave.model import AggregateKey, Node, Rule, TimeWindow, pattern_from_json
+from ruleweave.model import AggregateKey, DefinitionError, Node, Rule, TimeWindow, check_compiles, node_from_json, pattern_from_json, validate_node
 from ruleweave.operators.aggregates import columns_for, member_buckets, with_aggregates
 from ruleweave.operators.events import with_fresh, with_time, with_watermark
 from ruleweave.operators.patterns import pattern_matches
 from ruleweave.operators.rules import late_events, rule_matches
-from ruleweave.sources.events import decode_json, encode_json, from_table
+from ruleweave.sources.events import BEHAVIORS, decode_json, encode_json, from_table, generate, identified, producer_records
+from ruleweave.sources.store import RuleStore
 from ruleweave.streaming.engine import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,8 +73,9 @@ KEYS = {
     "agg_min_w": AggregateKey("view:MIN:k", HOURS12),
     "agg_missing_behavior": AggregateKey("transfer:SUM:value", DAYS3),
     "agg_missing_field": AggregateKey("view:AVG:weight", DAYS3),
+    "agg_unknown": AggregateKey("purchase:MEDIAN:value", DAYS3),
 }
-_SQL_FOLD = {"COUNT": "count(x.seq)", "SUM": "coalesce(sum(x.{f}), 0)", "AVG": "CASE WHEN count(x.seq) > 0 THEN coalesce(sum(x.{f}), 0) / count(x.seq) ELSE 0 END", "MAX": "coalesce(max(x.{f}), 0)", "MIN": "coalesce(min(x.{f}), 0)"}
+_SQL_FOLD = {"MEDIAN": "0", "COUNT": "count(x.seq)", "SUM": "coalesce(sum(x.{f}), 0)", "AVG": "CASE WHEN count(x.seq) > 0 THEN coalesce(sum(x.{f}), 0) / count(x.seq) ELSE 0 END", "MAX": "coalesce(max(x.{f}), 0)", "MIN": "coalesce(min(x.{f}), 0)"}
 
 
 def _aggregate(key: AggregateKey, source: Query = events, order: str = "in_order") -> Query:
@@ -117,6 +120,8 @@ RULES: dict[str, tuple[Node, str]] = {
     "rule_unbound_variable": (condition("behavior", "!=", "$who"), "true"),
     "rule_member_override": (condition("member_id", "=", "7"), "member_id = '7'"),
 }
+#: Rules beside the set.
+EMPTY = {"rule_empty_and": (_and(), "true"), "rule_empty_or": (_or(), "false"), "rule_empty_nested": (_or(_and(_or()), _and(condition("k", "<", 5), _and())), "k < 5")}
 _CONTEXT = f"{EV}, p AS (SELECT * FROM ev WHERE behavior = 'purchase'), c AS (SELECT e.*, coalesce(x.s3, 0) AS s3, coalesce(x.n3, 0) AS n3 FROM ev e LEFT JOIN (SELECT e.seq, sum(x.value) AS s3, count(x.seq) AS n3 FROM ev e JOIN p x ON x.member_id = e.member_id AND x.b BETWEEN e.b - 259200 AND e.b AND x.seq <= e.seq GROUP BY e.seq) x USING (seq))"
 _PLAIN = f"{EV}, c AS (SELECT * FROM ev)"
 
@@ -126,13 +131,13 @@ def _context(sql: str) -> str:
 
 
 def _rule(node: Node) -> Query:
-    return lambda spark, sf_dir: rule_matches(events(spark, sf_dir), [Rule(1, "r", node)]).select("seq", "event_id", "member_id", "rule_id")
+    return lambda spark, sf_dir: rule_matches(events(spark, sf_dir), [Rule(1, "r", node)], "in_order").select("seq", "event_id", "member_id", "rule_id")
 
 
 def rule_set_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules at once: one pass, every aggregate computed once."""
     rules = [Rule(i, name, node) for i, (name, (node, _)) in enumerate(RULES.items(), 1)]
-    return rule_matches(events(spark, sf_dir), rules).select("seq", "rule_id", "rule_name")
+    return rule_matches(events(spark, sf_dir), rules, "in_order").select("seq", "rule_id", "rule_name")
 
 
 RULE_SET_SQL = f"WITH {_CONTEXT} " + " UNION ALL ".join(f"SELECT seq, CAST({i} AS BIGINT) AS rule_id, '{name}' AS rule_name FROM c WHERE {sql}" for i, (name, (_, sql)) in enumerate(RULES.items(), 1))
@@ -188,6 +193,7 @@ PATTERNS = {
     "cep_negative_as_coded": [_state("a", "signup"), _state("b", "purchase", (24, "hours"), True)],
     "cep_negative_intent": [_state("a", "signup"), _state("b", "purchase", (24, "hours"), True)],
     "cep_negative_three": [_state("a", "signup"), _state("b", "click", (36, "hours")), _state("c", "purchase", (24, "hours"), True)],
+    "cep_lhs_variable": [_state("a", "signup", binding={"amount": "$event.value"}), _state("b", "click", (72, "hours"), more=[{"type": "CONDITION", "field": "$amount", "operator": "<", "value": 20}])],
     "cep_rhs_variable": [_state("a", "signup", binding={"amount": "$event.value"}), _state("b", "purchase", (72, "hours"), more=[{"type": "CONDITION", "field": "value", "operator": ">", "value": "$amount"}])],
 }
 
@@ -195,10 +201,7 @@ PATTERNS = {
 def _pattern(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pattern = pattern_from_json(name, name, PATTERNS[name])
-        if name == "cep_rhs_variable":
-            found = replay(events(spark, sf_dir), patterns=[pattern], shards=8)
-        else:
-            found = pattern_matches(events(spark, sf_dir), pattern, semantics="intent" if name.endswith("intent") else "as_coded")
+        found = pattern_matches(events(spark, sf_dir), pattern, semantics="intent" if name.endswith("intent") else "as_coded", trusted=True)
         out = ["member_id", "start_seq", "end_seq", F.unix_micros("matched_at").alias("matched_at")]
         if name == "cep_bindings":
             out += [F.col("variables")["first"].alias("first"), F.col("variables")["last"].alias("last"), F.size("variables").alias("bound")]
@@ -239,10 +242,116 @@ PATTERN_SQL = {
     "cep_negative_as_coded": _negative_sql([(_IS("signup"), 0)], _IS("purchase"), 86400, 86400, True),
     "cep_negative_intent": _negative_sql([(_IS("signup"), 0)], _IS("purchase"), 86400, 86400, False),
     "cep_negative_three": _negative_sql([(_IS("signup"), 0), (_IS("click"), 129600)], _IS("purchase"), 86400, 129600, True),
+    "cep_lhs_variable": f"WITH {EV} SELECT a.member_id, a.seq AS start_seq, min(b.seq) AS end_seq, min_by(b.t, b.seq) AS matched_at FROM ev a JOIN ev b ON b.member_id = a.member_id AND b.seq > a.seq AND b.behavior = 'click' WHERE a.behavior = 'signup' AND a.value < 20 GROUP BY a.member_id, a.seq, a.t HAVING min_by(b.t, b.seq) <= a.t + 259200000000",
     "cep_rhs_variable": f"WITH {EV} SELECT a.member_id, a.seq AS start_seq, min(b.seq) AS end_seq, min_by(b.t, b.seq) AS matched_at FROM ev a JOIN ev b ON b.member_id = a.member_id AND b.seq > a.seq AND b.behavior = 'purchase' AND b.value > a.value WHERE a.behavior = 'signup' GROUP BY a.member_id, a.seq, a.t HAVING min_by(b.t, b.seq) <= a.t + 259200000000",
 }
 
 
+# What the engine does one event at a time, and around it.
+MIDDLE = 1_705_276_800_000_000  # microseconds, in the middle of the events
+
+
+def _replayed(spark: SparkSession, e: DataFrame, name: str) -> DataFrame:
+    found = replay(e, patterns=[pattern_from_json(name, name, PATTERNS[name])], shards=1)
+    return found.filter("kind = 'pattern'").select("member_id", "start_seq", "end_seq", F.unix_micros("matched_at").alias("matched_at"))
+
+
+def replay_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines from the queue of a shard."""
+    return _replayed(spark, events(spark, sf_dir), "cep_negative_as_coded")
+
+
+def replay_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events delivered twice neither start nor advance a pattern again."""
+    e = events(spark, sf_dir).withColumn("seq", F.col("seq") * 2)
+    return _replayed(spark, e.unionByName(e.filter(F.col("seq") % 14 == 0).withColumn("seq", F.col("seq") + 1)), "cep_sequence")
+
+
+def replay_over_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a replay of which the second half starts from a snapshot."""
+    found = replay(shuffled(spark, sf_dir).drop("num_k", "txt_k"), [DISORDERED_RULE], lateness=LATE, shards=SHARDS, restart_after=MIDDLE * 1000)
+    return found.filter("kind = 'rule'").select("seq", "event_id", "member_id", "rule_id")
+
+
+def replay_muted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late events of a log of which the first half was told before."""
+    found = replay(shuffled(spark, sf_dir), lateness=LATE, shards=SHARDS, replay_until=MIDDLE * 1000)
+    return found.filter("kind = 'late'").select("seq", "event_id", "member_id")
+
+
+def rule_interpreter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules by walking their trees."""
+    rules = [Rule(i, name, node) for i, (name, (node, _)) in enumerate(RULES.items(), 1)]
+    return replay(events(spark, sf_dir), rules).filter("kind = 'rule'").select("seq", "rule_id")
+
+
+def watermark_before_1970(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermarks start at 1970: events before it are late."""
+    e = events(spark, sf_dir).withColumn("occurred_at", F.timestamp_micros(F.unix_micros("occurred_at") - F.lit(MIDDLE)))
+    return with_watermark(with_time(e)).select("seq", F.col("b_").alias("bucket"), F.col("late_").alias("late"))
+
+
+def rule_field_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields called behavior and member_id give way to the event's own."""
+    e = events(spark, sf_dir).withColumns({"txt_behavior": F.lit("raw"), "txt_member_id": F.lit("raw")})
+    node = _and(condition("behavior", "=", "purchase"), condition("member_id", "!=", "raw"))
+    return rule_matches(e, [Rule(1, "r", node)], "in_order").select("seq", "event_id", "member_id", "rule_id")
+
+
+def load_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = generate(spark, 1_000, members=10)
+    return made.select("seq", "event_id", F.col("behavior").isin(*BEHAVIORS).alias("known"), F.col("num_amount").between(0, 10_000).alias("in_range"))
+
+
+def kafka_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return producer_records(events(spark, sf_dir), 8).select("seq", "key", "partition")
+
+
+def kafka_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of two partitions with equal offsets."""
+    i = F.col("event_id")
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select((i % 2).alias("partition"), F.floor(i / 2).alias("offset"), F.col("props").alias("value"))
+    return identified(raw).select("seq", "shard")
+
+
+def rule_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active rules of a store after changes, over the events."""
+    store = RuleStore(f"{tempfile.mkdtemp()}/rules.json")
+    node = {"type": "CONDITION", "field": "behavior", "operator": "=", "value": "view"}
+    for name in ("one", "two", "three"):
+        store.create(name, node)
+    store.update(2, "zwei", {**node, "value": "click"})
+    store.set_status(3, 2)
+    return rule_matches(events(spark, sf_dir), store.compiled(), "in_order").select("seq", "rule_id", "rule_name")
+
+
+_VALIDATION = [
+    ("fine", {"type": "AND", "children": []}, True), ("node type", {"type": "XOR"}, False), ("operator", {"type": "CONDITION", "field": "a", "operator": "~"}, False), ("two under not", {"type": "NOT", "children": [{"type": "AND"}, {"type": "AND"}]}, False),
+    ("aggregate", {"type": "CONDITION", "field": "a:MODE:b", "operator": ">"}, False), ("path", {"type": "CONDITION", "field": "a:SUM:b c", "operator": ">"}, False), ("aggregate in lower case", {"type": "CONDITION", "field": "a:sum:b", "operator": ">"}, True),
+]
+_STATES = [("fine", [(None, False), (20, True)], True), ("none", [], False), ("negative first", [(20, True)], False), ("negative inside", [(None, False), (20, True), (20, False)], False), ("negative without wait", [(None, False), (None, True)], False)]
+
+
+def _accepted(check: Callable, given: object) -> bool:
+    try:
+        check(given)
+    except DefinitionError:
+        return False
+    return True
+
+
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions that are taken, and those that are refused."""
+    rules = [(f"rule: {n}", _accepted(lambda raw: compile_checked(node_from_json(raw)), raw)) for n, raw, _ in _VALIDATION]
+    patterns = [(f"pattern: {n}", _accepted(lambda raw: pattern_from_json("p", "p", raw), [_state("s", "a", w and (w, "minutes"), neg) for w, neg in states])) for n, states, _ in _STATES]
+    return spark.createDataFrame(rules + patterns, "definition string, accepted boolean")
+
+
+def compile_checked(node: Node) -> None:
+    validate_node(node)
+    check_compiles(node)
+
+
 # Partitioning, buckets, duplicates, codecs.
 def key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("member_id").distinct().select("member_id", key_group(F.col("member_id")).alias("key_group"))
@@ -310,9 +419,11 @@ _REPEATED = EV.replace("ev AS (", "o AS (") + ", ev AS (SELECT * FROM o UNION AL
 QUERIES: dict[str, Query] = {
     "key_group": key_groups, "shard_of": shards, "bucket_align": bucket_align, "dedup_first_arrival": dedup_first_arrival, "member_state_buckets": member_state_buckets,
     **{n: _aggregate(k) for n, k in KEYS.items()}, "agg_nowindow": _aggregate(NO_WINDOW),
-    **{n: _rule(node) for n, (node, _) in RULES.items()}, "rule_set_all": rule_set_all, "rule_repeated_delivery": rule_repeated_delivery, "orders_rule": orders_rule,
+    **{n: _rule(node) for n, (node, _) in (RULES | EMPTY).items()}, "rule_set_all": rule_set_all, "rule_repeated_delivery": rule_repeated_delivery, "orders_rule": orders_rule,
     "watermark_trace": watermark_trace, "late_events": late_side_output, "on_time_rules_disordered": on_time_rules_disordered, "replay_rules_disordered": replay_rules_disordered, "replay_late_events": replay_late_events,
     **{n: _pattern(n) for n in PATTERNS}, "json_round_trip": json_round_trip, "json_dead_letters": json_dead_letters, "rendered_numbers": rendered_numbers,
+    "replay_negative": replay_negative, "replay_repeated": replay_repeated, "replay_over_restart": replay_over_restart, "replay_muted": replay_muted, "rule_interpreter": rule_interpreter, "watermark_before_1970": watermark_before_1970,
+    "rule_field_clash": rule_field_clash, "load_generator": load_generator, "kafka_records": kafka_records, "kafka_identity": kafka_identity, "rule_store": rule_store, "validation": validation,
 }
 
 SQL: dict[str, str] = {
@@ -323,7 +434,7 @@ SQL: dict[str, str] = {
     "member_state_buckets": f"WITH {EV} SELECT member_id, behavior, b AS bucket, count(*) AS events, " + ", ".join(f"round({n}({c}), 4) AS {n}_{c}" for c in ("value", "k") for n in ("sum", "max", "min")) + " FROM ev GROUP BY ALL",
     **{n: _aggregate_sql(k) for n, k in KEYS.items()},
     "agg_nowindow": NO_WINDOW_SQL,
-    **{n: f"WITH {_context(sql)} SELECT seq, event_id, member_id, CAST(1 AS BIGINT) AS rule_id FROM c WHERE {sql}" for n, (_, sql) in RULES.items()},
+    **{n: f"WITH {_context(sql)} SELECT seq, event_id, member_id, CAST(1 AS BIGINT) AS rule_id FROM c WHERE {sql}" for n, (_, sql) in (RULES | EMPTY).items()},
     "rule_set_all": RULE_SET_SQL,
     "rule_repeated_delivery": f"WITH {_REPEATED} SELECT e.seq, e.event_id, CAST(1 AS BIGINT) AS rule_id FROM ev e JOIN o x ON x.behavior = 'purchase' AND x.member_id = e.member_id AND x.b <= e.b AND x.b >= e.b - 2592000 AND x.seq <= e.seq GROUP BY e.seq, e.event_id HAVING count(*) >= 2",
     "orders_rule": ORDERS_SQL,
@@ -333,6 +444,18 @@ SQL: dict[str, str] = {
     "replay_rules_disordered": _DISORDERED_SQL,
     "replay_late_events": f"WITH {_MARKS} SELECT seq, event_id, member_id FROM w WHERE t < wm",
     **PATTERN_SQL,
+    "replay_negative": PATTERN_SQL["cep_negative_as_coded"],
+    "replay_repeated": f"SELECT member_id, 2 * start_seq AS start_seq, 2 * end_seq AS end_seq, matched_at FROM ({PATTERN_SQL['cep_sequence']})",
+    "replay_over_restart": _DISORDERED_SQL,
+    "replay_muted": f"WITH {_MARKS} SELECT seq, event_id, member_id FROM w WHERE t < wm AND seq > {MIDDLE * 1000}",
+    "rule_interpreter": f"SELECT seq, rule_id FROM ({RULE_SET_SQL})",
+    "watermark_before_1970": f"WITH {EV} SELECT seq, CAST(floor((t - {MIDDLE}) / 60000000.0) AS BIGINT) * 60 AS bucket, t < {MIDDLE} AS late FROM ev",
+    "rule_field_clash": f"WITH {EV} SELECT seq, event_id, member_id, CAST(1 AS BIGINT) AS rule_id FROM ev WHERE behavior = 'purchase'",
+    "load_generator": "SELECT range AS seq, 'e' || range AS event_id, true AS known, true AS in_range FROM range(1000)",
+    "kafka_records": f"WITH {EV}, p AS (SELECT member_id, CAST({GROUP} * 8 // 128 AS INTEGER) AS partition FROM (SELECT DISTINCT member_id FROM ev)) SELECT seq, member_id AS key, partition FROM ev JOIN p USING (member_id)",
+    "kafka_identity": "SELECT event_id // 2 * 65536 + event_id % 2 AS seq, event_id % 2 AS shard FROM events",
+    "rule_store": f"WITH {EV} SELECT seq, CAST(1 AS BIGINT) AS rule_id, 'one' AS rule_name FROM ev WHERE behavior = 'view' UNION ALL SELECT seq, CAST(2 AS BIGINT), 'zwei' FROM ev WHERE behavior = 'click'",
+    "validation": "SELECT * FROM (VALUES " + ", ".join([f"('rule: {n}', {str(ok).lower()})" for n, _, ok in _VALIDATION] + [f"('pattern: {n}', {str(ok).lower()})" for n, _, ok in _STATES]) + ") AS t(definition, accepted)",
     "json_round_trip": f"WITH {EV} SELECT seq, event_id, member_id, behavior, t, round(value, 4) AS value FROM ev",
     "json_dead_letters": f"WITH {EV} SELECT seq FROM ev WHERE seq % 5 < 2",
     "rendered_numbers": "WITH x AS (SELECT o_orderkey, CAST(floor(o_totalprice / 1000) AS BIGINT) * 100000 AS v FROM orders) SELECT o_orderkey, CASE WHEN v < 1000000 THEN CAST(v AS VARCHAR) ELSE regexp_replace(regexp_replace(CAST(v AS VARCHAR)[1] || '.' || CAST(v AS VARCHAR)[2:], '0+$', ''), '[.]$', '') || 'e+' || lpad(CAST(length(CAST(v AS VARCHAR)) - 1 AS VARCHAR), 2, '0') END AS rendered FROM x",

@@ -1,8 +1,9 @@
 """Conditions as Catalyst columns.
 
-A compiled node is a boolean column in which null stands for an evaluation error. AND and OR look at
-their children in order and stop at the first error, as an interpreter with short circuits would,
-which SQL's own three-valued AND and OR do not.
+A compiled node is a boolean column in which null stands for an evaluation error. AND and OR take the
+first of their children that is an error or ends the search, as an interpreter with short circuits would,
+which SQL's own three-valued AND and OR do not. Inside, nodes are numbers (0 false, 1 error, 2 true), and each child occurs
+once in its parent's column, so plans grow in proportion to the rule.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from ruleweave.functions.rendering import MISSING, render, render_number
 from ruleweave.model import AggregateKey, Node, check_compiles
 
 
-
 @dataclass(frozen=True)
 class Operand:
     """A value as a number (null where it is none) and as text (never null)."""
@@ -42,7 +42,12 @@ class Scope:
         return self.fields.get(name) or nothing()
 
     def variable(self, name: str, default: Any) -> Operand:
-        return self.variables.get(name) or literal(default)
+        """A variable; where it isn't bound (its text is that of a missing field), the default."""
+        own, other = self.variables.get(name), literal(default)
+        if own is None:
+            return other
+        bound = own.text != MISSING
+        return Operand(F.when(bound, own.number).otherwise(other.number), F.when(bound, own.text).otherwise(other.text))
 
 
 def nothing() -> Operand:
@@ -65,22 +70,27 @@ def text_field(x: Column) -> Operand:
 
 def compile_node(node: Node, scope: Scope) -> Column:
     check_compiles(node)
-    return _node(node, scope)
+    return _pick(_node(node, scope), [F.lit(False), F.lit(None).cast("boolean"), F.lit(True)])
+
+
+def _pick(code: Column, values: list[Column]) -> Column:
+    """The value at a code, which occurs once."""
+    return F.get(F.array(*values), code)
 
 
 def _node(node: Node, scope: Scope) -> Column:
+    """0 false, 1 error, 2 true."""
     if node.type == "CONDITION":
-        return _condition(node, scope)
+        return F.coalesce(_condition(node, scope).cast("int") * 2, F.lit(1))
     children = [_node(c, scope) for c in node.children]
     if node.type == "NOT":
-        return ~children[0]
-    stop = node.type == "OR"  # the value that ends the search
+        return 2 - children[0]
+    stop, go_on = (2, 0) if node.type == "OR" else (0, 2)
     if not children:
-        return F.lit(not stop)
-    out = None
-    for c in children:
-        out = (F if out is None else out).when(c.isNull(), F.lit(None).cast("boolean")).when(c if stop else ~c, F.lit(stop))
-    return out.otherwise(F.lit(not stop))
+        return F.lit(go_on)
+    # The first child that stops or fails has the least number; the rest of a number by 3 is its code.
+    ranked = [_pick(c, [F.lit(3 * len(children) + go_on if k == go_on else 3 * i + k) for k in range(3)]) for i, c in enumerate(children)]
+    return (ranked[0] if len(ranked) == 1 else F.least(*ranked)) % 3
 
 
 def _condition(node: Node, scope: Scope) -> Column:
@@ -90,7 +100,7 @@ def _condition(node: Node, scope: Scope) -> Column:
     if op in ("IN", "NOT_IN"):
         if not isinstance(node.value, (list, tuple)):
             return F.lit(None).cast("boolean")
-        inside = left.text.isin([render(v) for v in node.value]) if node.value else F.lit(False)
+        inside = _inside(left, node.value) if node.value else F.lit(False)
         return inside if op == "IN" else ~inside
     value = node.value
     right = scope.variable(value[1:], value) if isinstance(value, str) and value.startswith("$") else literal(value)
@@ -102,6 +112,23 @@ def _condition(node: Node, scope: Scope) -> Column:
     return F.when(both, compared)
 
 
+def _inside(left: Operand, items: list[Any] | tuple[Any, ...]) -> Column:
+    """Membership by text. Texts of numbers are not made where the numbers decide: different ones but 0 and -0 have different texts."""
+    texts = [render(v) for v in items]
+    numbers = [x for x in map(_as_number, texts) if x]
+    same = left.number.isin(numbers) if numbers else F.lit(False)
+    return F.when(left.number.isNotNull() & (left.number != 0) & ~F.isnan(left.number), same).otherwise(left.text.isin(texts))
+
+
+def _as_number(text: str) -> float | None:
+    """The number that looks like a text, if one does."""
+    try:
+        x = float(text)
+    except ValueError:
+        return None
+    return x if render(x) == text and x == x else None
+
+
 def fires(condition: Column) -> Column:
     """Errors count as not fired."""
     return F.coalesce(condition, F.lit(False))

@@ -26,10 +26,10 @@ def _json_fields(names: list[str]) -> dict[str, Column]:
 
 
 def decode_json(messages: DataFrame, fields: list[str], value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Event frame and dead letters of JSON messages (seq, value). Malformed messages, and those without event_id, member_id or a time, are dead letters."""
+    """Event frame and dead letters of JSON messages (seq, value). Malformed messages, and those without event_id or member_id, are dead letters; those without a time have the zero time, which is late."""
     parsed = messages.select("seq", F.col(value).cast("string").alias("raw_"), F.from_json(F.col(value).cast("string"), ENVELOPE).alias("e_"))
-    fine = F.coalesce((F.col("e_.event_id") != "") & (F.col("e_.member_id") != "") & F.col("e_.occurred_at").isNotNull(), F.lit(False))
-    events = parsed.filter(fine).select("seq", "e_.*").withColumns(_json_fields(fields)).drop("fields")
+    fine = F.coalesce((F.col("e_.event_id") != "") & (F.col("e_.member_id") != ""), F.lit(False))
+    events = parsed.filter(fine).select("seq", "e_.*").withColumn("occurred_at", F.coalesce("occurred_at", F.lit("0001-01-01 00:00:00").cast("timestamp"))).withColumns(_json_fields(fields)).drop("fields")
     return events, parsed.filter(~fine).select("seq", F.col("raw_").alias("value"))
 
 
@@ -45,11 +45,12 @@ def encode_json(events: DataFrame) -> DataFrame:
 def from_table(table: DataFrame, seq: str, event_id: str, member: str, behavior: str, time: str, numbers: dict[str, Column] | None = None, texts: dict[str, Column] | None = None) -> DataFrame:
     """An event frame from any table: only the columns that it names are read."""
     numbers, texts = numbers or {}, texts or {}
-    return table.select(
+    read = table.select(
         F.col(seq).cast("bigint").alias("seq"), F.col(event_id).cast("string").alias("event_id"), F.col(member).cast("string").alias("member_id"), F.col(behavior).alias("behavior"), F.col(time).cast("timestamp").alias("occurred_at"),
-        *[c.cast("double").alias(f"num_{n}") for n, c in numbers.items()], *[F.coalesce(render_number(c.cast("double"))).alias(f"txt_{n}") for n, c in numbers.items()],
-        *[c.cast("string").alias(f"txt_{n}") for n, c in texts.items()],
+        *[c.cast("double").alias(f"num_{n}") for n, c in numbers.items()], *[c.cast("string").alias(f"txt_{n}") for n, c in texts.items()],
     ).filter("event_id <> '' and member_id <> '' and occurred_at is not null")
+    # Numbers are columns before they are texts, so that each is computed once.
+    return read.withColumns({f"txt_{n}": render_number(F.col(f"num_{n}")) for n in numbers if n not in texts})
 
 
 def read_log(spark: SparkSession, path: str, schema: str, streaming: bool = False, per_trigger: int = 1_000) -> DataFrame:
@@ -59,14 +60,28 @@ def read_log(spark: SparkSession, path: str, schema: str, streaming: bool = Fals
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, per_trigger: int = 100_000) -> DataFrame:
-    """Messages of a topic as seq, value; offsets live in the query's checkpoint. Needs Spark's Kafka package."""
+    """Messages of a topic as seq, shard, value; offsets live in the query's checkpoint. Needs Spark's Kafka package."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", per_trigger).load()
-    return raw.select(F.col("offset").alias("seq"), F.col("partition").alias("shard"), "value")
+    return identified(raw)
+
+
+#: More partitions than a topic has.
+PARTITIONS = 1 << 16
+
+
+def identified(records: DataFrame) -> DataFrame:
+    """seq, shard, value of Kafka records (partition, offset, value): seq is unique over all partitions and follows the offsets of each."""
+    return records.select((F.col("offset") * PARTITIONS + F.col("partition")).alias("seq"), F.col("partition").alias("shard"), "value")
+
+
+def producer_records(events: DataFrame, shards: int) -> DataFrame:
+    """Events as records: seq, key, value, and as partition the member's shard."""
+    return encode_json(events).withColumn("partition", shard_of(F.col("key"), shards))
 
 
 def write_kafka(events: DataFrame, servers: str, topic: str, checkpoint: str, shards: int):
     """Events to a topic: the partition is the member's shard. Needs Spark's Kafka package."""
-    out = encode_json(events).withColumn("partition", shard_of(F.col("key"), shards))
+    out = producer_records(events, shards)
     return out.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 

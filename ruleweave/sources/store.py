@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -92,7 +91,3 @@ def rules_from_table(spark: SparkSession, path: str, status: int | None = ACTIVE
 def patterns_from_table(spark: SparkSession, path: str) -> list[Pattern]:
     """Active patterns of a stored table (id, name, states, status)."""
     return [pattern_from_json(r.id, r.name, r.states, r.status) for r in spark.read.parquet(path).filter("status = 1").orderBy("id").collect()]
-
-
-def with_status(rule: Rule, status: int) -> Rule:
-    return replace(rule, status=status)

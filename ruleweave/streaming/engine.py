@@ -24,7 +24,8 @@ OUTPUT = "kind string, seq bigint, event_id string, member_id string, rule_id bi
 _NAMES = [c.strip().split(" ")[0] for c in "kind,seq,event_id,member_id,rule_id,pattern_id,start_seq,end_seq,variables,matched_at".split(",")]
 
 
-def _records(core: ShardCore, pdf: pd.DataFrame) -> pd.DataFrame:
+def _records(core: ShardCore, pdf: pd.DataFrame, muted_until: int | None = None) -> pd.DataFrame:
+    """Outcomes of events in order of seq; late ones up to muted_until were told before and aren't again."""
     fields = sorted({c[4:] for c in pdf.columns if c.startswith(("num_", "txt_"))})
     out: list[tuple] = []
     for row in pdf.sort_values("seq").to_dict("records"):
@@ -36,7 +37,7 @@ def _records(core: ShardCore, pdf: pd.DataFrame) -> pd.DataFrame:
             elif isinstance(text, str) and text != MISSING:
                 values[name] = text
         r = core.process(row["seq"], row["event_id"], row["member_id"], row["behavior"], values, row["t_"])
-        if r.late:
+        if r.late and (muted_until is None or row["seq"] > muted_until):
             out.append(("late", row["seq"], row["event_id"], row["member_id"], None, None, None, None, None, None))
         out += [("rule", row["seq"], row["event_id"], row["member_id"], i, None, None, None, None, None) for i in r.rules]
         out += [("pattern", row["seq"], row["event_id"], m, None, p, s, e, {k: render(v) for k, v in b.items()}, pd.Timestamp(t, unit="us")) for p, m, s, e, b, t in r.matches]
@@ -49,25 +50,32 @@ def _given(events: DataFrame, shards: int) -> DataFrame:
     return with_time(events).select(*kept, "t_", shard_of(F.col("member_id"), shards).alias("shard_"))
 
 
-def stream(events: DataFrame, rules: list[Rule] = (), patterns: list[Pattern] = (), lateness: float = LATENESS, shards: int = 8, semantics: str = "as_coded") -> DataFrame:
-    """A streaming event frame to a stream of outcomes: kind is rule, pattern or late. Each micro-batch is taken in order of seq."""
+def stream(events: DataFrame, rules: list[Rule] = (), patterns: list[Pattern] = (), lateness: float = LATENESS, shards: int = 8, semantics: str = "as_coded", replay_until: int | None = None) -> DataFrame:
+    """A streaming event frame to a stream of outcomes: kind is rule, pattern or late. Each micro-batch is taken in order of seq. Up to replay_until events rebuild the state, and late ones aren't told again."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         core = ShardCore(rules, patterns, lateness, semantics)
         if state.exists:
             core.restore(bytes(state.get[0]))
-        out = _records(core, pd.concat(list(batches)))
+        out = _records(core, pd.concat(list(batches)), replay_until)
         state.update((core.snapshot(),))
         yield out
 
     return _given(events, shards).groupBy("shard_").applyInPandasWithState(step, OUTPUT, "snapshot binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(events: DataFrame, rules: list[Rule] = (), patterns: list[Pattern] = (), lateness: float = LATENESS, shards: int = 8, semantics: str = "as_coded") -> DataFrame:
-    """The same outcomes from a stored log, whatever its disorder and repetition."""
+def replay(events: DataFrame, rules: list[Rule] = (), patterns: list[Pattern] = (), lateness: float = LATENESS, shards: int = 8, semantics: str = "as_coded", replay_until: int | None = None, restart_after: int | None = None) -> DataFrame:
+    """The same outcomes from a stored log, whatever its disorder and repetition. restart_after: a snapshot is taken there, and a new engine goes on from it."""
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _records(ShardCore(rules, patterns, lateness, semantics), pdf)
+        core = ShardCore(rules, patterns, lateness, semantics)
+        if restart_after is None:
+            return _records(core, pdf, replay_until)
+        before, after = pdf[pdf["seq"] <= restart_after], pdf[pdf["seq"] > restart_after]
+        out = _records(core, before, replay_until)
+        again = ShardCore(rules, patterns, lateness, semantics)
+        again.restore(core.snapshot())
+        return pd.concat([x for x in (out, _records(again, after, replay_until)) if len(x)] or [out])
 
     return _given(events, shards).groupBy("shard_").applyInPandas(step, OUTPUT)
 

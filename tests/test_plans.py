@@ -1,6 +1,7 @@
 """Batch plans against the event-by-event engine on random streams, and against SQL on the small tables."""
 
 import random
+import time
 from pathlib import Path
 
 import duckdb
@@ -8,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleweave.functions.rendering import render, render_number
-from ruleweave.model import AggregateKey, Node, Rule, TimeWindow
+from ruleweave.model import AggregateKey, DefinitionError, Node, Rule, TimeWindow, pattern_from_json
 from ruleweave.operators.aggregates import columns_for, with_aggregates
 from ruleweave.operators.events import with_time
 from ruleweave.operators.patterns import pattern_matches
 from ruleweave.operators.rules import compile_ruleset, late_events, rule_matches
 from ruleweave.plans import catalog
+from ruleweave.plans.compiler import Operand, Scope, compile_node
+from ruleweave.sources.events import identified
 from ruleweave.streaming.core import MINUTE, ShardCore
 from ruleweave.streaming.engine import replay
 
@@ -95,6 +98,64 @@ def test_patterns_in_order(spark, states, semantics):
     assert got == want and want
 
 
+@pytest.mark.parametrize("negative", [False, True])
+def test_patterns_with_variables(spark, negative):
+    """Variables on either side, bound late, bound again and not bound, against the event-by-event engine."""
+    rows = [r for r in stream(31, n=300)]
+    is_ = lambda b: {"type": "CONDITION", "field": "behavior", "operator": "=", "value": b}
+    both = lambda *c: {"type": "AND", "children": list(c)}
+    states = [
+        {"name": "a", "condition": is_("a"), "context_binding": {"x": "$event.amount", "gone": "$event.nothing"}},
+        {"name": "b", "condition": both(is_("b"), {"type": "CONDITION", "field": "amount", "operator": ">", "value": "$x"}, {"type": "CONDITION", "field": "amount", "operator": "!=", "value": "$gone"}), "max_wait": {"value": 60, "unit": "minutes"}, "context_binding": {"x": "$event.amount", "y": "$event.amount"}},
+        {"name": "c", "condition": both(is_("c"), {"type": "CONDITION", "field": "$x", "operator": ">", "value": 10}, {"type": "CONDITION", "field": "amount", "operator": "<", "value": "$y"}), "max_wait": {"value": 90, "unit": "minutes"}, "is_negative": negative},
+    ]
+    pattern = pattern_from_json("p", "p", states)
+    _, out = simulate(rows, patterns=[pattern], lateness=120)
+    want = sorted((m, s, e, t) for _, _, r, _ in out for _, m, s, e, _, t in r.matches)
+    got = sorted((r.member_id, r.start_seq, r.end_seq, r.t) for r in pattern_matches(frame(spark, rows).withColumn("txt_amount", render_number(F.col("num_amount"))), pattern, 120).withColumn("t", F.unix_micros("matched_at")).collect())
+    assert got == want and want
+
+
+def test_disorder_is_seen(spark):
+    """By default the order is looked at: disordered input has late events and other aggregates, and patterns refuse it."""
+    rows = stream(7, 100, True)
+    rules = [Rule(1, "one", Node("CONDITION", (), "a:COUNT", ">=", 3, TimeWindow(30)))]
+    e = frame(spark, rows)
+    assert sorted(map(tuple, rule_matches(e, rules).collect())) == sorted(map(tuple, rule_matches(e, rules, "disordered").collect()))
+    with pytest.raises(DefinitionError):
+        pattern_matches(e, _pattern(("a", None, False), ("b", 20, False)))
+    with pytest.raises(DefinitionError):
+        pattern_matches(frame(spark, stream(2, 0, True)), _pattern(("a", None, False), ("b", 20, False)))
+
+
+def test_plans_grow_with_the_rule(spark):
+    node = Node("CONDITION", (), "num", ">", 3)
+    sizes = []
+    for depth in range(13):
+        node = Node("AND" if depth % 2 else "OR", (node, Node("CONDITION", (), "num", "<", depth)))
+        sizes.append(len(compile_node(node, Scope({"num": Operand(F.col("x"), F.col("x").cast("string"))}))._jc.toString()))
+    assert sizes[12] < 4 * sizes[3]
+    e = spark.range(10).select(F.col("id").cast("double").alias("x"))
+    began = time.perf_counter()
+    assert e.filter(compile_node(node, Scope({"num": Operand(F.col("x"), F.col("x").cast("string"))}))).count() == 10
+    assert time.perf_counter() - began < 5
+
+
+def test_equal_offsets_of_two_partitions(spark):
+    """Two members' purchases of 10 and 500 at one offset each: only one of them fires."""
+    raw = spark.createDataFrame([(0, 5, "u", 10.0), (1, 5, "v", 500.0)], "partition int, offset bigint, member_id string, num_amount double")
+    seq = identified(raw.withColumn("value", F.lit(""))).select("seq", "shard")
+    e = raw.join(seq, raw["partition"] == seq["shard"]).select("seq", F.col("member_id").alias("event_id"), "member_id", F.lit("buy").alias("behavior"), F.timestamp_micros(F.lit(1_700_000_000_000_000)).alias("occurred_at"), "num_amount")
+    rule = Rule(1, "sum", Node("CONDITION", (), "buy:SUM:amount", ">", 400, TimeWindow(1, "hours")))
+    assert [r.member_id for r in rule_matches(e, [rule], "disordered").collect()] == ["v"]
+
+
+def test_replay_mutes_the_late_sink(spark):
+    e = frame(spark, stream(8, 200))
+    told = replay(e, lateness=60, shards=1).filter("kind = 'late'").count()
+    assert told and replay(e, lateness=60, shards=1, replay_until=10_000).filter("kind = 'late'").count() == 0
+
+
 def test_bad_rules_are_set_apart():
     good = Rule(1, "g", Node("CONDITION", (), "a", "=", 1))
     found = compile_ruleset([good, Rule(2, "b", Node("WHAT")), Rule(3, "c", Node("CONDITION", (), "a:MODE:b", ">", 1))])
