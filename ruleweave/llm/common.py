@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Texts that Python holds at once come in slices of about so many characters (one longer text is one slice).
 SLICE_CHARS = 2_000_000
+#: Rows that go to Python at once while a table is written: texts and sets are large.
+BATCH_ROWS, _BATCH = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _libc = ctypes.CDLL(None)
 _made: list[tuple[SparkSession, str]] = []
 
@@ -39,7 +41,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: it cuts the lineage, is computed once and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     _made.append((spark, path))
     made = spark.read.schema(df.schema).parquet(path)
     made.table_path_ = path

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ruleweave.llm.common import Passing, discard, materialize, may_match, release, salted, slices
 
-WORDS, PERMUTATIONS, BAND, BLOCK, ROUNDS = 5, 64, 5, 1_000, 4
+WORDS, PERMUTATIONS, BAND, BLOCK, ROUNDS = 5, 64, 5, 1_000, 3
 #: Members of small buckets that one group of a task takes, about.
 GROUP = 10_000
 CACHE_WORDS = 150_000
