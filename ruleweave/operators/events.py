@@ -39,9 +39,13 @@ STRETCHES = 1024
 
 def stretch_of(rows: DataFrame, column: str) -> Column:
     """The number of a row's stretch: equal parts of a column's range, in its order. Takes one pass over the column."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
+    return stretch_between(F.col(column), *rows.agg(F.min(column), F.max(column)).first())
+
+
+def stretch_between(value: Column, low: int | None, high: int | None) -> Column:
+    """The same for a known range, 0 to STRETCHES; values outside belong to its ends."""
     width = 1 if low is None else (high - low) // STRETCHES + 1
-    return F.floor((F.col(column) - F.lit(low or 0)) / F.lit(width)).cast("bigint")
+    return F.greatest(F.lit(0), F.least(F.lit(STRETCHES), F.floor((value - F.lit(low or 0)) / F.lit(width)))).cast("bigint")
 
 
 def with_watermark(events: DataFrame, lateness: float = LATENESS, shards: int = 1) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ruleweave.functions.rendering import MISSING
 from ruleweave.model import DefinitionError, Node, Pattern, State, validate_pattern
-from ruleweave.operators.events import LATENESS, SECOND, arrives_in_order, scope_fields, stretch_of, with_fresh, with_time, with_watermark
+from ruleweave.operators.events import LATENESS, SECOND, STRETCHES, arrives_in_order, scope_fields, stretch_between, with_fresh, with_time, with_watermark
 from ruleweave.plans.compiler import Operand, Scope, compile_node, fires, text_field
 
 
@@ -146,10 +146,14 @@ def _undisturbed(entries: DataFrame, timed: DataFrame, pattern: Pattern, negativ
     entries = entries.withColumn("deadline_", F.col("start_t_") + F.lit(negative.max_wait.seconds * SECOND)).join(own, "end_seq")
     asked = entries.select("shard_", F.col("deadline_").alias("v_"), F.lit(0).alias("kind_"), F.struct(*entries.columns).alias("entry_"))
     # From the latest backwards, a deadline sees the least watermark above it: of its stretch of time, or else of the next one that has any.
+    low, high = timed.agg(F.min("t_"), F.max("t_")).first()
+    stretch = stretch_between(F.col("v_"), low, high)
+    marks, asked = marks.withColumn("stretch_", stretch), asked.withColumn("stretch_", stretch)
+    lowest = marks.groupBy("shard_", "stretch_").agg(F.min_by("mark_", "v_").alias("low_"))
+    grid = timed.sparkSession.range(shards * (STRETCHES + 1)).select((F.col("id") % shards).cast("int").alias("shard_"), F.floor(F.col("id") / shards).alias("stretch_"))
+    from_there = Window.partitionBy("shard_").orderBy(F.desc("stretch_")).rowsBetween(Window.unboundedPreceding, -1)
+    next_ = grid.join(lowest, ["shard_", "stretch_"], "left").select("shard_", "stretch_", F.last("low_", ignorenulls=True).over(from_there).alias("next_mark_"))
     both = marks.unionByName(asked, allowMissingColumns=True)
-    both = both.withColumn("stretch_", stretch_of(both, "v_"))
-    lowest = both.groupBy("shard_", "stretch_").agg(F.min_by("mark_", F.when(F.col("mark_").isNotNull(), F.col("v_"))).alias("low_"))
-    next_ = lowest.select("shard_", "stretch_", F.last("low_", ignorenulls=True).over(Window.partitionBy("shard_").orderBy(F.desc("stretch_")).rowsBetween(Window.unboundedPreceding, -1)).alias("next_mark_"))
     order = Window.partitionBy("shard_", "stretch_").orderBy(F.desc("v_"), "kind_").rowsBetween(Window.unboundedPreceding, -1)
     met = both.withColumn("passed_", F.last("mark_", ignorenulls=True).over(order)).filter("entry_ is not null").join(F.broadcast(next_), ["shard_", "stretch_"])  # at most 128 shards of STRETCHES rows
     met = met.select("entry_.*", F.coalesce("passed_", "next_mark_").alias("passed_"))
