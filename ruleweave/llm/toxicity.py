@@ -23,10 +23,9 @@ themselves. An empty table gives no rows. Very long texts are passages like othe
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,29 +39,53 @@ from ruleweave.llm.common import crc_of_id, discard, materialize, slices
 MAX_TOXIC, MAX_CLEAN, MAX_PASSAGES = 300, 600, 4_500
 #: Letters of a term, letters from which a word gives several, numbers of terms, terms of a passage, terms with lists by block.
 STEM, LONG, TERMS, PASSAGE, COMMON = 4, 24, 1 << 18, 128, 512
-#: Neighbours in an index of MAX_PASSAGES (by the square root of its size in a smaller one), passages of a block, axes by which passages are put in order, passages searched together, stretches of text that a task keeps.
+#: Neighbours in an index of MAX_PASSAGES (by the square root of its size in a smaller one), passages of a block, axes by which passages are put in order, passages searched together, stems that a task keeps.
 NEIGHBOURS, BLOCK, AXES, TOGETHER, KNOWN = 100, 64, 6, 128, 150_000
-_STRIP = re.compile(r"[\W_]+")
 _SLACK = 1e-5
 
 
 class Terms(dict):
-    """The terms of each stretch of text without white space."""
+    """The term of each stem."""
 
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
+    def __missing__(self, stem: str) -> int:
         if len(self) >= KNOWN:
             self.clear()
-        words = [stretch] if stretch.isalpha() else filter(None, _STRIP.split(stretch))
-        found = []
-        for w in words:
-            found += [w[:STEM]] if len(w) <= LONG else [w[k : k + STEM] for k in range(0, len(w), STEM)]
-        value = self[stretch] = tuple(xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % TERMS for x in found)
+        value = self[stem] = xxhash.xxh32_intdigest(stem.encode("utf-8", "surrogatepass")) % TERMS
         return value
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters or digits."""
+    return np.fromiter(map(str.isalnum, map(chr, range(0x110000))), dtype=bool, count=0x110000)
+
+
 def terms_of(texts: list[str | None], known: Terms) -> list[np.ndarray]:
-    """All terms of each text, in order."""
-    return [np.fromiter(chain.from_iterable(map(known.__getitem__, t.lower().split())), dtype=np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    """All terms of each text, in order. Words are cut from all texts at once, as arrays of code points; Python sees each distinct stem once."""
+    low = [t.lower() if t else "" for t in texts]
+    if not low:
+        return []
+    whole = "\0".join(["", *low, "\0" * STEM])
+    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    edges = np.flatnonzero(np.diff(_letters()[code])) + 1
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    if (size > LONG).any():
+        parts = np.where(size > LONG, -(-size // STEM), 1)
+        skip = STEM * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        begin, size = np.repeat(begin, parts) + skip, np.repeat(size, parts) - skip
+    # Four code points of 16 bits are one number; stems with greater ones (wide) are looked up one by one.
+    packed, wide = np.zeros(len(begin), dtype="<u8"), np.zeros(len(begin), dtype=bool)
+    for k in range(STEM):
+        own = np.where(size > k, code[begin + k], 0)
+        wide |= own > 0xFFFF
+        packed |= own.astype("<u8") << np.uint64(16 * k)
+    packed[wide] = 0
+    met = pa.array(packed).dictionary_encode()
+    stems = (x.to_bytes(8, "little").decode("utf-16-le").rstrip("\0") for x in met.dictionary.to_pylist())
+    found = np.fromiter(map(known.__getitem__, stems), dtype=np.int64)[met.indices.to_numpy()]
+    for i in np.flatnonzero(wide):
+        found[i] = known[whole[begin[i] : begin[i] + min(STEM, size[i])]]
+    return np.split(found, np.searchsorted(begin, np.cumsum([len(t) + 1 for t in low[:-1]])))
 
 
 def passages(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

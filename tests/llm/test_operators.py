@@ -278,6 +278,34 @@ def test_whole_texts_against_all_examples(spark):
             assert cos == pytest.approx(want, abs=3e-6)
 
 
+def test_terms_are_those_of_plain_python(rows):
+    """Terms cut from arrays of code points are those of each text's words, one by one."""
+    r = random.Random(9)
+    letters = "ab1_ -é中\x1c Σİ²\ud800𐐀.́\0"
+    texts = [t for _, t in rows] + ["x" * 24, "x" * 25, "x" * 26 + " y", "中文" * 30 + " 中", "𝔘𝔫𝔦𝔠𝔬𝔡𝔢 𐐀𐐁b", "a\0b\0", "\0", "end", None]
+    texts += ["".join(r.choice(letters) for _ in range(r.randrange(200))) for _ in range(300)]
+    texts += ["".join("k" if r.random() < 0.94 else r.choice(letters) for _ in range(r.randrange(200))) for _ in range(300)]
+
+    def plain(t):
+        words = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+        stems = [s for w in words for s in ([w[: toxicity.STEM]] if len(w) <= toxicity.LONG else [w[k : k + toxicity.STEM] for k in range(0, len(w), toxicity.STEM)])]
+        return [toxicity.xxhash.xxh32_intdigest(s.encode()) % toxicity.TERMS for s in stems]
+
+    assert [t.tolist() for t in toxicity.terms_of(texts, toxicity.Terms())] == [plain(t) for t in texts]
+    for few in ([], [None], ["", "a"], ["𐐀"], ["a", None]):
+        assert [t.tolist() for t in toxicity.terms_of(few, toxicity.Terms())] == [plain(t) for t in few]
+
+
+def test_terms_cost_by_stems(monkeypatch):
+    """Words that differ after their stem, or in the marks around them, are hashed once: the cost of a text isn't that of its distinct words."""
+    hashed, plain = [], toxicity.xxhash.xxh32_intdigest
+    monkeypatch.setattr(toxicity.xxhash, "xxh32_intdigest", lambda b: hashed.append(b) or plain(b))
+    texts = [" ".join(f"st{i % 50:02}x{k}i{i}," for i in range(1_000)) for k in range(20)]
+    found = toxicity.terms_of(texts, toxicity.Terms())
+    assert [len(t) for t in found] == [1_000] * 20 and len(set(np.concatenate(found).tolist())) == 50
+    assert len(hashed) == 50
+
+
 def test_scores_are_calibrated(spark):
     """On held-out rows of sf0.1: mean score and rate of toxic ones agree in low, middle and high scores."""
     d = DATA.replace("0.001", "0.1")
