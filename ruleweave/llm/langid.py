@@ -16,7 +16,7 @@ Other columns of the input are never read, whatever their names.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from ruleweave.llm.common import crc_of_id, slices
 MAX_TRAIN, LEAST_TRAIN, BUCKETS, SWITCH, MIN_SCRIPT = 12_000, 500, 1 << 16, 12.0, 0.02
 #: Words that a task keeps with their scores, and characters in a slice, for up to 64 languages; see _bounds. Nats by which a barred language loses a word.
 CACHE_WORDS, CHARS, BARRED = 200_000, 2_000_000, 1e6
+#: Characters of words whose n-grams are held at once: they take some 200 bytes a character.
+FEATURE_CHARS = 100_000
 UNKNOWN = "und"
 _STARTS, _SCRIPTS = np.array([0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3190, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0xFB50, 0xFE00, 0x20000]), np.array([0, 1, 2, 3, 4, 5, 3, 6, 7, 3, 8, 3, 3, 9, 3, 0, 1, 0, 10, 11, 9, 11, 11, 3, 9, 3, 11, 0, 5, 0, 11])
 N_SCRIPTS = 12  # Latin, Greek, Cyrillic, other, Hebrew, Arabic, Devanagari, Bengali, Thai, Hangul, kana, Han
@@ -74,6 +76,18 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.concatenate(buckets) if buckets else np.zeros(0, np.int64), np.concatenate(owners) if owners else np.zeros(0, np.int64), letters, scripts
 
 
+def _stretches(words: list[str]) -> Iterator[slice]:
+    """Stretches of the words of about FEATURE_CHARS characters (one longer word is one)."""
+    begin = held = 0
+    for i, w in enumerate(words):
+        if i > begin and held + len(w) > FEATURE_CHARS:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += len(w)
+    if begin < len(words):
+        yield slice(begin, len(words))
+
+
 class Model:
     """Log-probabilities of n-gram buckets for each language, and the scripts in which it is written."""
 
@@ -92,6 +106,12 @@ class Model:
         self.strange = np.zeros(0, dtype=np.int64)
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scores, letters, strange = np.zeros((len(words), len(self.langs)), dtype=np.float32), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        for some in _stretches(words):
+            scores[some], letters[some], strange[some] = self._score(words[some])
+        return scores, letters, strange
+
+    def _score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         buckets, owners, letters, scripts = _features(words)
         n, k = len(words), len(self.langs)
         out = np.zeros((n, k), dtype=np.float32)
@@ -105,29 +125,30 @@ class Model:
         out[~some | (letters == 0)] = 0
         return out, letters, np.where(some, 0, letters)
 
-    def lookup(self, texts: list[list[str]]) -> list[list[int]]:
-        """Numbers of the texts' words; new words are scored together."""
+    def lookup(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
+        """Numbers of the texts' words; new words are scored together. Of the texts, one after another, only new words are held."""
         if len(self.ids) > _bounds(len(self.langs))[0]:
             self.clear()
         ids = self.ids
-        new: dict[str, int] = {}
-        base = len(ids)
+        new: list[str] = []
+        found = []
         for words in texts:
             for w in set(words).difference(ids):
-                new.setdefault(w, base + len(new))
+                ids[w] = len(ids)
+                new.append(w)
+            found.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)))
         if new:
-            scores, letters, strange = self.score(list(new))
+            scores, letters, strange = self.score(new)
             self.scores, self.letters, self.strange = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters]), np.concatenate([self.strange, strange])
-            ids.update(new)
-        return [list(map(ids.__getitem__, words)) for words in texts]
+        return found
 
-    def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def label(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Language of every word of every text, the texts' lengths in words, the letters of each language in each text, and whether a text has letters, at least half of them in scripts of learned languages."""
         found = self.lookup(texts)
         lengths = np.array([len(x) for x in found], dtype=np.int64)
-        flat = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(lengths.sum()))
+        flat = np.concatenate([np.zeros(0, np.int64), *found])
         label = best_labels(self.scores[flat], lengths)
-        n, k = len(texts), len(self.langs)
+        n, k = len(found), len(self.langs)
         doc = np.repeat(np.arange(n), lengths)
         by = np.bincount(doc * k + label, weights=self.letters[flat], minlength=n * k).reshape(n, k)
         total = by.sum(1)
@@ -241,10 +262,12 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
                     if len(sums) >= 64:
                         yield from told()
                     sums[x] = np.zeros(BUCKETS + N_SCRIPTS, dtype=np.int64)
-                times = np.array(list(own.values()), dtype=np.int64)
-                buckets, owners, letters, scripts = _features(list(own))
-                sums[x][:BUCKETS] += np.bincount(buckets, weights=times[owners], minlength=BUCKETS).astype(np.int64)
-                sums[x][BUCKETS:] += np.bincount(scripts, weights=letters * times, minlength=N_SCRIPTS).astype(np.int64)
+                words, counted = list(own), np.array(list(own.values()), dtype=np.int64)
+                for some in _stretches(words):
+                    times = counted[some]
+                    buckets, owners, letters, scripts = _features(words[some])
+                    sums[x][:BUCKETS] += np.bincount(buckets, weights=times[owners], minlength=BUCKETS).astype(np.int64)
+                    sums[x][BUCKETS:] += np.bincount(scripts, weights=letters * times, minlength=N_SCRIPTS).astype(np.int64)
         yield from told()
 
     rows = chosen.mapInArrow(count, "lang_ int, bucket_ int, n_ bigint").groupBy("lang_", "bucket_").agg(F.sum("n_").alias("n_"))
@@ -265,13 +288,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
         own = pickle.loads(shared.value)  # a task's own: what it keeps goes with it
         k = len(own.langs)
         for batch in slices(batches, "text_", _bounds(k)[1]):
-            texts = [words_of(t) for t in batch.column("text_").to_pylist()]
-            preds, scores, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-            if k and texts:
-                label, lengths, by, known = own.label(texts)
+            n = len(batch)
+            preds, scores, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
+            if k and n:
+                label, lengths, by, known = own.label(map(words_of, batch.column("text_").to_pylist()))
                 best = by.argmax(1)
                 preds = [own.langs[b] if y else UNKNOWN for b, y in zip(best, known)]
-                scores = np.where(known, by[np.arange(len(texts)), best] / np.maximum(by.sum(1), 1), 0.0)
+                scores = np.where(known, by[np.arange(n), best] / np.maximum(by.sum(1), 1), 0.0)
                 if with_spans:
                     ends = np.cumsum(lengths)
                     for i, (e, m) in enumerate(zip(ends, lengths)):
@@ -299,7 +322,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.0, text: str = "t
         for batch in slices(batches, text, _bounds(k)[1]):
             keep = np.zeros(len(batch), dtype=bool)
             if k and len(batch):
-                _, _, by, known = own.label([words_of(t) for t in batch.column(text).to_pylist()])
+                _, _, by, known = own.label(map(words_of, batch.column(text).to_pylist()))
                 keep = known & (by.max(1) >= least * by.sum(1))
             yield batch.filter(pa.array(keep))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -561,6 +562,21 @@ def test_rare_and_many_languages(spark, monkeypatch):
     assert got == {i: l for i, _, l in rows}
 
 
+def test_language_holds_few_ngrams_at_once(monkeypatch):
+    r = np.random.default_rng(3)
+    made = ["".join(w) for w in r.choice(list("abcdefghijклмн7"), (60_000, 9))]
+    model = langid.Model(["x", "y"], r.integers(0, 9, (2, langid.BUCKETS)), r.integers(0, 9, (2, langid.N_SCRIPTS)))
+    texts = [made[i : i + 300] for i in range(0, len(made), 300)] + [[], made[:7]]
+    tracemalloc.start()
+    got = model.label(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    model.clear()
+    monkeypatch.setattr(langid, "FEATURE_CHARS", 1 << 40)
+    assert all((a == b).all() for a, b in zip(got, model.label(texts), strict=True))
+
+
 def test_language_without_training(spark, empty):
     assert langid.identify(empty).count() == 0
     assert [x.lang_pred for x in langid.identify(spark.createDataFrame([(1, "text", None, "s", 4)], SCHEMA)).collect()] == ["und"]
