@@ -138,13 +138,10 @@ def _chains_with_variables(timed: DataFrame, events: DataFrame, pattern: Pattern
     return chains.select("member_id", "start_seq", "end_seq", "start_t_", "end_t_", "forbidden_", F.col("bound_").alias("variables"))
 
 
-def _undisturbed(entries: DataFrame, timed: DataFrame, pattern: Pattern, negative: State, lateness: float, shards: int, semantics: str) -> DataFrame:
-    """The entries into a negative state whose deadline passes before any forbidden event."""
-    marked = with_watermark(timed.select("seq", "member_id", "t_"), lateness, shards)
-    marks = marked.filter("wm_ > wm_before_").select("shard_", F.col("wm_").alias("v_"), F.lit(1).alias("kind_"), F.struct("seq", "member_id", F.col("wm_").alias("wm")).alias("mark_"))
-    own = marked.select(F.col("seq").alias("end_seq"), "shard_", F.col("wm_").alias("own_wm_"))
-    entries = entries.withColumn("deadline_", F.col("start_t_") + F.lit(negative.max_wait.seconds * SECOND)).join(own, "end_seq")
-    asked = entries.select("shard_", F.col("deadline_").alias("v_"), F.lit(0).alias("kind_"), F.struct(*entries.columns).alias("entry_"))
+def first_passed(asked: DataFrame, deadline: Column, marked: DataFrame, timed: DataFrame, names: list[str], shards: int) -> DataFrame:
+    """asked with passed_: of the events in marked, names and watermark (wm) of the shard's first one that moves the watermark past the deadline. timed has the same events."""
+    marks = marked.filter("wm_ > wm_before_").select("shard_", F.col("wm_").alias("v_"), F.lit(1).alias("kind_"), F.struct(*names, F.col("wm_").alias("wm")).alias("mark_"))
+    asked = asked.select("shard_", deadline.alias("v_"), F.lit(0).alias("kind_"), F.struct(*asked.columns).alias("entry_"))
     # From the latest backwards, a deadline sees the least watermark above it: of its stretch of time, or else of the next one that has any.
     low, high = timed.agg(F.min("t_"), F.max("t_")).first()
     stretch = stretch_between(F.col("v_"), low, high)
@@ -156,7 +153,15 @@ def _undisturbed(entries: DataFrame, timed: DataFrame, pattern: Pattern, negativ
     both = marks.unionByName(asked, allowMissingColumns=True)
     order = Window.partitionBy("shard_", "stretch_").orderBy(F.desc("v_"), "kind_").rowsBetween(Window.unboundedPreceding, -1)
     met = both.withColumn("passed_", F.last("mark_", ignorenulls=True).over(order)).filter("entry_ is not null").join(F.broadcast(next_), ["shard_", "stretch_"])  # at most 128 shards of STRETCHES rows
-    met = met.select("entry_.*", F.coalesce("passed_", "next_mark_").alias("passed_"))
+    return met.select("entry_.*", F.coalesce("passed_", "next_mark_").alias("passed_"))
+
+
+def _undisturbed(entries: DataFrame, timed: DataFrame, pattern: Pattern, negative: State, lateness: float, shards: int, semantics: str) -> DataFrame:
+    """The entries into a negative state whose deadline passes before any forbidden event."""
+    marked = with_watermark(timed.select("seq", "member_id", "t_"), lateness, shards)
+    own = marked.select(F.col("seq").alias("end_seq"), "shard_", F.col("wm_").alias("own_wm_"))
+    entries = entries.withColumn("deadline_", F.col("start_t_") + F.lit(negative.max_wait.seconds * SECOND)).join(own, "end_seq")
+    met = first_passed(entries, F.col("deadline_"), marked, timed, ["seq", "member_id"], shards)
     at_entry = F.col("own_wm_") > F.col("deadline_")  # the deadline had passed when the state was entered
     met = met.withColumn("fe_seq_", F.when(at_entry, F.col("end_seq")).otherwise(F.col("passed_.seq"))).withColumn("fe_member_", F.when(at_entry, F.col("member_id")).otherwise(F.col("passed_.member_id"))).withColumn("fe_wm_", F.when(at_entry, F.col("own_wm_")).otherwise(F.col("passed_.wm")))
     kept = met.filter("fe_seq_ is not null and (forbidden_ is null or forbidden_ > fe_seq_)")

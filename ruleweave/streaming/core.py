@@ -116,6 +116,16 @@ class ShardCore:
         self.deadlines = [(p.deadline, m, i) for m, s in self.members.items() for i, p in s.progresses.items() if p.deadline is not None]
         heapq.heapify(self.deadlines)
 
+    def forget(self) -> None:
+        """As new: nothing of the members so far is kept."""
+        self.members, self.watermark, self.deadlines = {}, 0, []
+
+    def advance(self, watermark: float) -> Result:
+        """The watermark as events of members that aren't here have moved it, and the matches that this settles."""
+        self.watermark = max(self.watermark, watermark)
+        self._drain(out := Result())
+        return out
+
     # Aggregates.
     def _fold(self, member: Member, event_id: str, behavior: str, fields: Mapping[str, Any], t: int) -> None:
         at = t // MINUTE * MINUTE

@@ -7,7 +7,7 @@ from ruleweave.sources.events import decode_json, encode_json, generate, read_lo
 from ruleweave.sources.store import RuleStore, patterns_from_table, rules_from_table
 from ruleweave.streaming.engine import replay, stream, write_outcomes
 from tests.test_core import waits
-from tests.test_plans import frame, stream as made
+from tests.test_plans import frame, simulate, stream as made
 
 RULES = [Rule(1, "r", Node("CONDITION", (), "a:COUNT", ">=", 3, TimeWindow(30)))]
 
@@ -63,3 +63,31 @@ def test_store(spark, tmp_path):
     assert [r.id for r in rules_from_table(spark, str(tmp_path / "rules"))] == [1]
     spark.createDataFrame([("p", "n", '[{"name":"a","condition":{"type":"AND"}}]', 1)], "id string, name string, states string, status int").write.parquet(str(tmp_path / "patterns"))
     assert patterns_from_table(spark, str(tmp_path / "patterns"))[0].id == "p"
+
+
+def _spread(spark, found):
+    """Rows of a replay, and how many tasks they came from."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    return rows, len({r.task for r in rows})
+
+
+def _many(seed, members=12, **options):
+    """A stream of more members than that of the plans' tests."""
+    return [(s, e, f"{m}{int(e[1:]) % members}", b, t, a) for s, e, m, b, t, a in made(seed, **options)]
+
+
+def test_replayed_rules_of_a_shard_are_spread_over_tasks(spark):
+    """rule_interpreter: members of one shard in several tasks, in batches, with the outcomes of one engine for the shard."""
+    rows = _many(41, disorder=40, repeats=True, n=600)
+    rules = [*RULES, Rule(2, "two", Node("CONDITION", (), "amount", ">", 30))]
+    _, want = simulate(rows, rules=rules, lateness=600)
+    found = replay(frame(spark, rows), rules, lateness=600, shards=1)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    got, tasks = _spread(spark, found)
+    assert tasks > 1
+    assert sorted((r.seq, r.rule_id) for r in got if r.kind == "rule") == sorted((s, i) for s, _, r, _ in want for i in r.rules)
+    assert sorted(r.seq for r in got if r.kind == "late") == [s for s, _, r, _ in want if r.late] != []
