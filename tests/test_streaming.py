@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ruleweave.model import Node, Rule, TimeWindow
 from ruleweave.sources.events import decode_json, encode_json, generate, read_log
 from ruleweave.sources.store import RuleStore, patterns_from_table, rules_from_table
-from ruleweave.streaming.engine import replay, stream, write_outcomes
+from ruleweave.streaming.core import ShardCore
+from ruleweave.streaming.engine import _told, replay, stream, write_outcomes
 from tests.test_core import waits
 from tests.test_plans import frame, simulate, stream as made
 
@@ -91,3 +92,31 @@ def test_replayed_rules_of_a_shard_are_spread_over_tasks(spark):
     assert tasks > 1
     assert sorted((r.seq, r.rule_id) for r in got if r.kind == "rule") == sorted((s, i) for s, _, r, _ in want for i in r.rules)
     assert sorted(r.seq for r in got if r.kind == "late") == [s for s, _, r, _ in want if r.late] != []
+
+
+def _fed(rows, order, lateness, **options):
+    """Rows as a task of the replay of one shard gets them."""
+    mark, out = 0, []
+    for s, e, m, b, t, a in rows:
+        out.append({"seq": s, "event_id": e, "member_id": m, "behavior": b, "num_amount": a, "t_": t, "shard_": 0, "wm_before_": mark})
+        mark = max(mark, t - lateness * 1_000_000)
+    return sorted(out, key=lambda r: (r["member_id"], r["seq"])) if order else out
+
+
+def test_replayed_repeats_hold_one_member_at_a_time():
+    """replay_repeated: the engine of a task forgets a member when the next one begins."""
+    rows = _many(42, repeats=True, n=600)
+    patterns = [waits(("a", None, False), ("b", 20, False))]
+    cores, most = [], 0
+
+    def make():
+        cores.append(ShardCore(patterns=patterns, lateness=60))
+        return cores[-1]
+
+    got = []
+    for _, kind, seq, _, member, _, _, start, end, *_ in _told(make, _fed(rows, True, 60), ["amount"]):
+        most = max(most, sum(len(c.members) for c in cores))
+        got.append((seq, member, start, end))
+    _, want = simulate(rows, patterns=patterns, lateness=60)
+    assert most == 1
+    assert sorted(got) == sorted((s, m, a, b) for s, _, r, _ in want for _, m, a, b, _, _ in r.matches) != []
