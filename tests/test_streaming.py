@@ -1,5 +1,6 @@
 """Streams: the same outcomes as a replay, over restarts and redelivery."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ruleweave.model import Node, Rule, TimeWindow
@@ -120,3 +121,18 @@ def test_replayed_repeats_hold_one_member_at_a_time():
     _, want = simulate(rows, patterns=patterns, lateness=60)
     assert most == 1
     assert sorted(got) == sorted((s, m, a, b) for s, _, r, _ in want for _, m, a, b, _, _ in r.matches) != []
+
+
+@pytest.mark.parametrize("semantics", ["as_coded", "intent"])
+@pytest.mark.parametrize("states", [[("a", None, False), ("c", 10, True)], [("a", None, False), ("b", 20, False), ("c", 40, True)]])
+def test_replayed_negatives_name_the_event_that_settled_them(spark, states, semantics):
+    """replay_negative: deadlines pass by events of other members, in other tasks; disordered and repeated events too."""
+    rows = _many(43, members=2, disorder=15, repeats=True, n=600)
+    patterns = [waits(*states), waits(("b", None, False), ("b", 30, False))]
+    _, want = simulate(rows, patterns=patterns, rules=RULES, lateness=300, semantics=semantics)
+    got, tasks = _spread(spark, replay(frame(spark, rows), RULES, patterns, lateness=300, shards=1, semantics=semantics).withColumn("t", F.unix_micros("matched_at")))
+    assert tasks > 1
+    ids = {s: e for s, e, *_ in rows}
+    assert sorted((r.seq, r.event_id, r.member_id, r.start_seq, r.end_seq, r.t) for r in got if r.kind == "pattern") == sorted((s, ids[s], m, a, b, t) for s, _, r, _ in want for _, m, a, b, _, t in r.matches)
+    assert any(m != own for _, own, r, _ in want for _, m, *_ in r.matches)
+    assert sorted((r.seq, r.rule_id) for r in got if r.kind == "rule") == sorted((s, i) for s, _, r, _ in want for i in r.rules) and {r.kind for r in got} == {"rule", "pattern", "late"}
