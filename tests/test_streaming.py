@@ -136,3 +136,20 @@ def test_replayed_negatives_name_the_event_that_settled_them(spark, states, sema
     assert sorted((r.seq, r.event_id, r.member_id, r.start_seq, r.end_seq, r.t) for r in got if r.kind == "pattern") == sorted((s, ids[s], m, a, b, t) for s, _, r, _ in want for _, m, a, b, _, t in r.matches)
     assert any(m != own for _, own, r, _ in want for _, m, *_ in r.matches)
     assert sorted((r.seq, r.rule_id) for r in got if r.kind == "rule") == sorted((s, i) for s, _, r, _ in want for i in r.rules) and {r.kind for r in got} == {"rule", "pattern", "late"}
+
+
+def test_a_restarted_replay_holds_no_shard():
+    """replay_over_restart: each member goes on from its own snapshot, with what one engine without a restart finds."""
+    rows = _many(44, members=2, disorder=40, repeats=True, n=600)
+    patterns = [waits(("a", None, False), ("b", 20, False), ("c", 30, True)), waits(("a", None, False), ("b", 20, False))]
+    restored = []
+
+    class Core(ShardCore):
+        def restore(self, raw):
+            super().restore(raw)
+            restored.append(len(self.members))
+
+    fed = _fed(rows, True, 300)
+    got = list(_told(lambda: Core(RULES, patterns, 300), fed, ["amount"], restart_after=300))
+    assert got == list(_told(lambda: ShardCore(RULES, patterns, 300), fed, ["amount"])) and {o[1] for o in got} == {"rule", "late", "pattern", "pending"}
+    assert len(restored) == len({r["member_id"] for r in fed if r["seq"] > 300}) and max(restored) == 1
