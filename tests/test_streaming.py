@@ -153,3 +153,19 @@ def test_a_restarted_replay_holds_no_shard():
     got = list(_told(lambda: Core(RULES, patterns, 300), fed, ["amount"], restart_after=300))
     assert got == list(_told(lambda: ShardCore(RULES, patterns, 300), fed, ["amount"])) and {o[1] for o in got} == {"rule", "late", "pattern", "pending"}
     assert len(restored) == len({r["member_id"] for r in fed if r["seq"] > 300}) and max(restored) == 1
+
+
+def test_replayed_disorder_is_told_as_it_is_read():
+    """replay_rules_disordered: outcomes of a task leave before its later events are read."""
+    rows = _many(45, disorder=60, n=600)
+    read = 0
+
+    def counted():
+        nonlocal read
+        for row in _fed(rows, True, 600):
+            read += 1
+            yield row
+
+    told = _told(lambda: ShardCore(RULES, lateness=600), counted(), ["amount"])
+    assert next(told)[1] in ("rule", "late") and read < 100
+    assert len(list(told)) > 1 and read == 600
