@@ -7,7 +7,7 @@ from ruleweave.model import Node, Rule, TimeWindow
 from ruleweave.sources.events import decode_json, encode_json, generate, read_log
 from ruleweave.sources.store import RuleStore, patterns_from_table, rules_from_table
 from ruleweave.streaming.core import ShardCore
-from ruleweave.streaming.engine import _told, replay, stream, write_outcomes
+from ruleweave.streaming.engine import CHUNK, _packed, _told, replay, stream, write_outcomes
 from tests.test_core import waits
 from tests.test_plans import frame, simulate, stream as made
 
@@ -169,3 +169,11 @@ def test_replayed_disorder_is_told_as_it_is_read():
     told = _told(lambda: ShardCore(RULES, lateness=600), counted(), ["amount"])
     assert next(told)[1] in ("rule", "late") and read < 100
     assert len(list(told)) > 1 and read == 600
+
+
+def test_late_events_leave_a_replay_in_batches():
+    """replay_late_events: however many events are late, a batch of outcomes is bounded."""
+    rows = [{"seq": i, "event_id": f"e{i}", "member_id": f"m{i // 5}", "behavior": "a", "t_": 5, "shard_": 0, "wm_before_": 9} for i in range(2 * CHUNK + 7)]
+    batches = list(_packed(_told(ShardCore, rows, [])))
+    assert [b.num_rows for b in batches] == [CHUNK, CHUNK, 7]
+    assert [x for b in batches for x in b.column("seq").to_pylist()] == [r["seq"] for r in rows] and set(batches[0].column("kind").to_pylist()) == {"late"}
