@@ -177,3 +177,12 @@ def test_late_events_leave_a_replay_in_batches():
     batches = list(_packed(_told(ShardCore, rows, [])))
     assert [b.num_rows for b in batches] == [CHUNK, CHUNK, 7]
     assert [x for b in batches for x in b.column("seq").to_pylist()] == [r["seq"] for r in rows] and set(batches[0].column("kind").to_pylist()) == {"late"}
+
+
+def test_muted_replay_of_a_shard_is_spread_over_tasks(spark):
+    """replay_muted: late events of the second part only, of one shard in several tasks."""
+    rows = _many(47, disorder=200, n=600)
+    _, want = simulate(rows, lateness=60)
+    got, tasks = _spread(spark, replay(frame(spark, rows), lateness=60, shards=1, replay_until=300))
+    assert tasks > 1
+    assert sorted(r.seq for r in got) == [s for s, _, r, _ in want if r.late and s > 300] != []
