@@ -141,7 +141,7 @@ def test_replayed_negatives_name_the_event_that_settled_them(spark, states, sema
 def test_a_restarted_replay_holds_no_shard():
     """replay_over_restart: each member goes on from its own snapshot, with what one engine without a restart finds."""
     rows = _many(44, members=2, disorder=40, repeats=True, n=600)
-    patterns = [waits(("a", None, False), ("b", 20, False), ("c", 30, True)), waits(("a", None, False), ("b", 20, False))]
+    patterns = [waits(("a", None, False), ("b", 20, False), ("c", 30, True)), waits(("b", None, False), ("a", 40, False))]
     restored = []
 
     class Core(ShardCore):
